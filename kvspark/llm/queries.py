@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, simhash
+from . import decontaminate, language, lmscore, mixing, simhash
 from .common import table
 
 
@@ -18,11 +18,15 @@ def op10_simhash(spark, sf_dir):
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op7_lmscore(spark, sf_dir):
+    return lmscore.query(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     return language.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_mixing, op8_language, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_mixing, op7_lmscore, op8_language, op10_simhash)}
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL.replace("{docs}", "documents"),
