@@ -294,7 +294,7 @@ def score(
     filter_mb: int = 64,
     frequent: int = 1 << 20,
     hashes: int = 4,
-    prior: float = 200.0,
+    prior: float = 1000.0,
     keep=("doc_id",),
     text_col: str = "text",
 ) -> DataFrame:

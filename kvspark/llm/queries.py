@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lmscore, mixing, simhash
+from . import chat, decontaminate, language, licences, lmscore, mixing, simhash
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark, sf_dir):
+    return chat.query(table(spark, sf_dir, "conversations"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark, sf_dir):
+    return licences.query(table(spark, sf_dir, "documents"))
+
+
 def op7_lmscore(spark, sf_dir):
     return lmscore.query(table(spark, sf_dir, "documents"))
 
@@ -26,9 +34,11 @@ def op8_language(spark, sf_dir):
     return language.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_mixing, op7_lmscore, op8_language, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_chat, op5_mixing, op6_licences, op7_lmscore, op8_language, op10_simhash)}
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL.replace("{docs}", "documents"),
+    "op3_chat": chat.SQL,
     "op5_mixing": mixing.SQL.replace("{docs}", "documents"),
+    "op6_licences": licences.SQL,
 }
