@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licences, lmscore, mixing, simhash
+from . import chat, decontaminate, language, licences, lmscore, mixing, simhash, warc
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op3_chat(spark, sf_dir):
     return chat.query(table(spark, sf_dir, "conversations"))
 
@@ -34,10 +38,11 @@ def op8_language(spark, sf_dir):
     return language.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_chat, op5_mixing, op6_licences, op7_lmscore, op8_language, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_chat, op5_mixing, op6_licences, op7_lmscore, op8_language, op10_simhash)}
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL.replace("{docs}", "documents"),
+    "op2_warc": warc.SQL,
     "op3_chat": chat.SQL,
     "op5_mixing": mixing.SQL.replace("{docs}", "documents"),
     "op6_licences": licences.SQL,
