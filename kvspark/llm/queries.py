@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licences, lmscore, mixing, simhash, warc
+from . import chat, decontaminate, language, licences, lmscore, mainhtml, mixing, simhash, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_chat(spark, sf_dir):
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
+def op4_mainhtml(spark, sf_dir):
+    return mainhtml.query(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op8_language(spark, sf_dir):
     return language.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_chat, op5_mixing, op6_licences, op7_lmscore, op8_language, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_chat, op4_mainhtml, op5_mixing, op6_licences, op7_lmscore, op8_language, op10_simhash)}
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL.replace("{docs}", "documents"),
