@@ -258,7 +258,7 @@ def identify(docs: DataFrame, keep=None, **options) -> DataFrame:
     return predict(docs, train(docs.where(fold() != 0), **options), keep=keep)
 
 
-def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def recognised(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is recognised: not ``und``, with a score of ``least`` or
     more; with their own columns."""
     named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
