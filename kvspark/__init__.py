@@ -1,0 +1 @@
+"""An ordered key-value store and its scans, on Spark."""
