@@ -256,6 +256,9 @@ class Model:
     def __init__(self, keys, counts, bloom: LogBloom, order: int, total: int, distinct: int, prior: float):
         self.keys, self.counts, self.bloom, self.order = keys, counts, bloom, order
         self.total, self.distinct, self.prior = total, distinct, prior
+        end = stir(np.array([_END]))
+        known = self.exact(end)
+        self.ends = float(known[0] if known[0] >= 0 else bloom.count(end)[0])
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
@@ -335,11 +338,15 @@ def score(
     bits = np.zeros(shards * block_bytes, np.uint8)
     for r in filled.select("shard", "block").toLocalIterator():
         bits[r.shard * block_bytes : (r.shard + 1) * block_bytes] = np.frombuffer(r.block, np.uint8)
-    model = Model(keys[order_of], counts[order_of], LogBloom(bits, shards, block_bytes, hashes, levels), order, int(total), int(distinct), prior)
-    end_key = stir(np.array([_END]))
-    model.ends = float(model.exact(end_key)[0]) if model.exact(end_key)[0] >= 0 else float(model.bloom.count(end_key)[0])
-    model_b = spark.sparkContext.broadcast(model)
-    del model, bits
+    factor = levels.factor
+    #: Plain values, so that workers can read them without this package.
+    sent = spark.sparkContext.broadcast((keys[order_of], counts[order_of], bits))
+    del keys, counts, bits
+
+    def receive() -> Model:
+        keys, counts, bits = sent.value
+        bloom = LogBloom(bits, shards, block_bytes, hashes, Levels(factor))
+        return Model(keys, counts, bloom, order, int(total), int(distinct), prior)
 
     keep = [c for c in keep if c.lower() not in {"n_tokens", "n_known", "train_tokens", "base_score", "score"}]
     kept = [T.StructField(c, docs.schema[c].dataType) for c in keep]
@@ -357,7 +364,7 @@ def score(
 
     def run(batches):
         """A row a document with what the frequent tokens give, and blobs of the other tokens."""
-        m, at = model_b.value, TaskContext.get().partitionId() << 32
+        m, at = receive(), TaskContext.get().partitionId() << 32
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -403,7 +410,7 @@ def score(
 
     def meet(batches):
         """Of each shard its token counts, then the documents' tokens."""
-        m, now, keys, counts = model_b.value, None, None, None
+        m, now, keys, counts = receive(), None, None, None
         for batch in batches:
             sums: list = []
             for shard, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
