@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import BLOB_OVER, KEY_LIMIT, blob_pages
 
-SIZE = F.octet_length("key") + F.octet_length("value")
-
-
 def counters() -> list:
+    size = F.octet_length("key") + F.octet_length("value")
     return [
         F.count("*").alias("items_n"),
         F.count(F.when(F.octet_length("value") > BLOB_OVER, 1)).alias("blobs_n"),
-        F.coalesce(F.sum(SIZE.cast("long")), F.lit(0)).alias("bytes_in_use"),
+        F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes_in_use"),
     ]
 
 
