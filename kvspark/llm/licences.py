@@ -32,20 +32,20 @@ SENTENCES = [
     (r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "GPLNoWarranty"),
     (r"see the gnu general public license for more details", "GPLSee"),
     (r"(this (work|program|software|file|code) is )?(licensed|released|distributed) under the mit license", "MITRef"),
-    (r"permission is hereby granted free of charge to any person obtaining a copy of this software .*", "MITGrant"),
+    (r"permission is hereby granted free of charge to any person obtaining a copy of this software( .*)?", "MITGrant"),
     (r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "MITNotice"),
-    (r"the software is provided as is without warranty of any kind express or implied .*", "MITAsIs"),
+    (r"the software is provided as is without warranty of any kind express or implied( .*)?", "MITAsIs"),
     (r"(this (work|program|software|file|code) is )?(licensed|released|distributed) under the apache license version 2.0", "Apache2Ref"),
     (r"licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "Apache2Ref"),
     (r"you may obtain a copy of the license at( .*)?", "Apache2Obtain"),
-    (r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*", "Apache2AsIs"),
+    (r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis( .*)?", "Apache2AsIs"),
     (r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met( 1)?", "BSDGrant"),
     (r"(1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer( 2)?", "BSDSource"),
     (r"(2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution( 3)?", "BSDBinary"),
     (r"(3 )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission", "BSDEndorse"),
-    (r"this software is provided by .* as is and any express or implied warranties .*", "BSDAsIs"),
+    (r"this software is provided by .* as is and any express or implied warranties( .*)?", "BSDAsIs"),
     (r"(this (work|program|software|file|code) is )?(licensed|released|distributed) under the (new |modified |3 clause )?bsd (3 clause )?license", "BSDRef"),
-    (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*", "ISCGrant"),
+    (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted( .*)?", "ISCGrant"),
     (r"this source code form is subject to the terms of the mozilla public license v. 2.0", "MPL2Ref"),
     (r"(this (work|text|page|article) is )?(licensed|released|distributed) under (a )?(the )?(creative commons|cc) by nc [0-9.]+", "CCByNc"),
     (r"(this (work|text|page|article) is )?(licensed|released|distributed) under (a )?(the )?(creative commons|cc) by sa [0-9.]+", "CCBySa"),

@@ -1,0 +1,64 @@
+import hashlib
+import random
+
+from kvspark.llm import decontaminate as dc
+
+from .sqlcheck import equal
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(text, items, size=13):
+    row, spans, found = dc.words(text.encode()), set(), set()
+    for ident, t in items:
+        for w in dc.windows(dc.words(t.encode()), size):
+            for i in range(len(row) - len(w) + 1):
+                if tuple(row[i : i + len(w)]) == w:
+                    spans.update(range(i, i + len(w)))
+                    found.add(ident)
+    return len(row), len(spans), sorted(found)
+
+
+def test_query_equals_sql(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert equal(dc.query(docs, bench), dc.SQL.replace("{docs}", "documents"), SF)
+    assert dc.query(docs, bench).where("contaminated").count() > 0
+
+
+def test_search_equals_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abc")  # noqa: E731 few words, so that shifts and buckets collide
+    items = [(str(i), " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 7, 9, 30])))) for i in range(12)]
+    texts = [" ".join(word() for _ in range(rng.randrange(60))) for _ in range(60)] + [t for _, t in items]
+    for size in (1, 3, 5, 13):
+        tables = dc.compile_items([(i, t.encode()) for i, t in items], size)
+        for t in texts:
+            spans, found = dc.scan(tables, dc.words(t.encode()))
+            assert (len(dc.words(t.encode())), sum(z - a for a, z in spans), sorted(found)) == brute(t, items, size)
+
+
+def test_cases(spark):
+    passage = "One two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([(1, passage), (2, passage), (2, None), (None, "Über-straße!"), (4, "")], "item_id long, text string")
+    rows = [
+        (1, passage.upper() + " x " * 5, 9),
+        (1, passage.upper() + " x " * 5, 9),
+        (2, None, 9),
+        (3, "", 9),
+        (4, passage + " y" * 300, 9),
+        (None, "die über Straße", 9),  # the item has a capital umlaut, and only A-Z are lower-cased
+        (6, "die Über\tstraße", 9),
+        (7, " ".join("w%d" % i for i in range(200000)), 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, contaminated int")
+    got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in dc.query(docs, bench).collect()}
+    assert got == {(1, 18, 13, 2, True), (2, 0, 0, 0, False), (3, 0, 0, 0, False), (4, 313, 13, 2, False), (None, 3, 0, 0, False), (6, 3, 2, 1, True), (7, 200000, 0, 0, False)}
+    sums = {r.doc_id: r.items_sha256 for r in dc.query(docs, bench).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert sums[1] == digest("1,2") and sums[3] == digest("") and sums[6] == digest("null")
+    blocks = dc.search(docs, bench, keep=["doc_id"], block_mb=1e-5)  # many item blocks give the same
+    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in blocks.collect()} == got
+    assert dc.query(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert dc.query(docs.limit(0), bench).collect() == []
+    kept = dc.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "7", "None"]
