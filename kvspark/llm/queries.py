@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licences, lmscore, mainhtml, mixing, simhash, warc
+from . import chat, decontaminate, language, licences, lmscore, mainhtml, mixing, prefixhash, simhash, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op9_prefixhash(spark, sf_dir):
+    return prefixhash.query(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op8_language(spark, sf_dir):
     return language.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_chat, op4_mainhtml, op5_mixing, op6_licences, op7_lmscore, op8_language, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_chat, op4_mainhtml, op5_mixing, op6_licences, op7_lmscore, op8_language, op9_prefixhash, op10_simhash)}
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL.replace("{docs}", "documents"),
