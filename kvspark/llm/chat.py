@@ -63,12 +63,13 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def format_trees(messages: DataFrame, best: int | None = 1, loss_role: str = "assistant") -> DataFrame:
+def format_trees(messages: DataFrame, best: int | None = 1, loss_role: str = "assistant", unique: bool = False) -> DataFrame:
     """(id, parent, tree, role, text, score) -> one row a chosen path: tree, leaf, rank, score,
-    n_turns, formatted, loss_spans (start, end). best: paths of each tree, all if None."""
+    n_turns, formatted, loss_spans (start, end). best: paths of each tree, all if None. unique:
+    no id occurs twice, so rows need not be compared."""
     scratch = Scratch(messages.sparkSession, "chat")
     columns = ["parent", "tree", "role", "text", "score"]
-    whole = messages.select(
+    once = messages.select(
         "id",
         "parent",
         "tree",
@@ -76,7 +77,8 @@ def format_trees(messages: DataFrame, best: int | None = 1, loss_role: str = "as
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
-    once = whole.groupBy("id").agg(F.min(F.struct(*columns)).alias("m")).select("id", "m.*")
+    if not unique:
+        once = once.groupBy("id").agg(F.min(F.struct(*columns)).alias("m")).select("id", "m.*")
     once = scratch.save(once, "messages")
     on_path = scratch.save(paths(once.select("id", "parent"), scratch), "paths")
     ranked = on_path.join(once.select("id", "tree", "score"), "id").groupBy("leaf").agg(F.first("tree").alias("tree"), F.avg("score").alias("score"))
@@ -84,39 +86,57 @@ def format_trees(messages: DataFrame, best: int | None = 1, loss_role: str = "as
     ranked = ranked.withColumn("rank", F.row_number().over(order).cast("long"))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
+    chosen = on_path.join(ranked, "leaf")
     head = F.concat(F.lit("### "), escape(F.col("role"), role=True), F.lit(": "))
-    turns = (
-        on_path.join(ranked.select("leaf"), "leaf", "left_semi")
-        .join(once.select("id", "role", "text"), "id")
-        .select("leaf", (-F.col("up")).alias("at"), "role", head.alias("head"), escape(F.col("text")).alias("body"))
-        .withColumn("piece", F.concat("head", "body", F.lit(END)))
+    turns = chosen.join(once.select("id", "role", "text"), "id").select(
+        "leaf", "tree", "rank", "score", (-F.col("up")).alias("at"), (F.col("role") == loss_role).alias("loss"), head.alias("head"), escape(F.col("text")).alias("body")
     )
+    # From here on all is by leaf: one exchange carries each text once.
     before = Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("start", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)) + F.char_length("head"))
-    span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.char_length("body")).cast("long").alias("end"))
-    formatted = turns.groupBy("leaf").agg(
-        F.count("*").alias("n_turns"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda t: t["piece"]), "").alias("formatted"),
-        F.sort_array(F.collect_list(F.when(F.col("role") == loss_role, span))).alias("loss_spans"),
+    length = F.char_length("head") + F.char_length("body") + len(END)
+    turns = turns.withColumn("start", (F.coalesce(F.sum(length).over(before), F.lit(0)) + F.char_length("head")).cast("long"))
+    span = F.struct("start", (F.col("start") + F.char_length("body")).alias("end"))
+    return (
+        turns.groupBy("leaf")
+        .agg(
+            F.first("tree").alias("tree"),
+            F.first("rank").alias("rank"),
+            F.first("score").alias("score"),
+            F.count("*").alias("n_turns"),
+            F.array_join(
+                F.transform(F.sort_array(F.collect_list(F.struct("at", "head", "body"))), lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""
+            ).alias("formatted"),
+            F.sort_array(F.collect_list(F.when(F.col("loss"), span))).alias("loss_spans"),
+        )
+        .select("tree", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans")
     )
-    return ranked.join(formatted, "leaf").select("tree", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans")
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """(leaf, formatted, loss_spans) -> (leaf, at, role, text, in_loss), a row a turn."""
-    pieces = formatted.select("leaf", F.posexplode(F.split("formatted", END)).alias("at", "piece"))
-    upto = Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    turns = (
-        pieces.withColumn("begin", F.coalesce(F.sum(F.char_length("piece") + len(END)).over(upto), F.lit(0)))
-        .where("piece <> ''")
-        .withColumn("role", F.substring_index(F.expr("substr(piece, 5)"), ": ", 1))
-        .withColumn("body", F.expr("substr(piece, 7 + char_length(role))"))
-        .withColumn("start", (F.col("begin") + 6 + F.char_length("role")).cast("long"))
-        .withColumn("end", F.col("start") + F.char_length("body"))
+
+
+def read_back(formatted: DataFrame, *keep: str) -> DataFrame:
+    """(leaf, formatted, loss_spans) -> (leaf, columns keep, at, role, text, in_loss), a row a turn.
+
+    Turns and mask spans of a row are listed together, turns are placed by the lengths before
+    them, and a turn is under the mask if a span with just its begin and end stands beside it."""
+    entry = lambda kind, at, piece, start, end: F.struct(
+        kind.alias("kind"), at.cast("long").alias("at"), piece.alias("piece"), start.cast("long").alias("from"), end.cast("long").alias("to")
     )
-    spans = formatted.select("leaf", F.explode("loss_spans").alias("s")).select("leaf", "s.start", "s.end", F.lit(True).alias("in_loss"))
-    return turns.join(spans, ["leaf", "start", "end"], "left").select(
-        "leaf", "at", unescape(F.col("role")).alias("role"), unescape(F.col("body")).alias("text"), F.coalesce("in_loss", F.lit(False)).alias("in_loss")
+    null = F.lit(None)
+    turns = F.transform(F.split("formatted", END), lambda p, i: entry(F.lit(1), i, p, null, null))
+    spans = F.transform("loss_spans", lambda s, i: entry(F.lit(0), i, null.cast("string"), s["start"], s["end"]))
+    rows = formatted.repartition("leaf").select("leaf", *keep, F.explode(F.concat(spans, turns)).alias("e")).select("leaf", *keep, "e.*")
+    upto = Window.partitionBy("leaf").orderBy("kind", "at").rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy("leaf").orderBy("start", "kind")
+    role = F.substring_index(F.expr("substr(piece, 5)"), ": ", 1)
+    beside = lambda c: F.lag(c).over(place)
+    return (
+        rows.where("kind = 0 or piece <> ''")
+        .withColumn("begin", F.coalesce(F.sum(F.char_length("piece") + len(END)).over(upto), F.lit(0)))
+        .withColumn("name", role)
+        .withColumn("start", F.coalesce("from", F.col("begin") + 6 + F.char_length("name")))
+        .withColumn("end", F.coalesce("to", F.col("begin") + F.char_length("piece")))
+        .withColumn("in_loss", F.coalesce((beside("kind") == 0) & (beside("start") == F.col("start")) & (beside("end") == F.col("end")), F.lit(False)))
+        .where("kind = 1")
+        .select("leaf", *keep, "at", unescape(F.col("name")).alias("role"), unescape(F.expr("substr(piece, 7 + char_length(name))")).alias("text"), "in_loss")
     )
 
 
@@ -150,22 +170,24 @@ def query(conversations: DataFrame) -> DataFrame:
     )
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(added)
     scratch = Scratch(spark, "chatquery")
-    done = scratch.save(format_trees(by_turns(rows)), "formatted")
-    turns = read_back(done)
+    done = scratch.save(format_trees(by_turns(rows), unique=True), "formatted")
+    turns = read_back(done.withColumn("chars", F.char_length("formatted").cast("long")), "tree", "chars")
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda t: t["s"]), "")
     line = F.struct("at", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"))
     back = turns.groupBy("leaf").agg(
+        F.first("tree").alias("tree"),
+        F.first("chars").alias("formatted_chars"),
         F.count("*").alias("n_turns"),
         joined(line).alias("all"),
         joined(F.when(F.col("in_loss"), F.struct("at", F.col("text").alias("s")))).alias("loss"),
     )
-    return done.join(back.drop("n_turns"), "leaf").join(back.select("leaf", F.col("n_turns").alias("read_turns")), "leaf").select(
+    return back.select(
         F.expr("cast(if(tree = 'n', null, substr(tree, 2)) as long)").alias("conv_id"),
-        F.col("read_turns").alias("n_turns"),
+        "n_turns",
         F.sha2("all", 256).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )
 
 
