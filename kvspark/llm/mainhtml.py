@@ -47,7 +47,7 @@ CLOSED_BY = {
     "option": {"option"},
 }
 #: What tells a branch that is no main text. The second holds outside of articles only.
-NOISE_TAGS = set("nav footer aside form button dialog menu".split())
+NOISE_TAGS = set("nav footer aside button dialog menu".split())
 OUTER_NOISE_TAGS = {"header"}
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE_WORDS = set(
@@ -65,7 +65,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 
-PLAIN, MAIN, NOISE = 0, 1, 2
+#: Marks of branches. FORM: inside a form, which some sites wrap around the whole page.
+PLAIN, MAIN, NOISE, FORM = 0, 1, 2, 3
 
 
 def sign(*parts) -> int:
@@ -99,14 +100,17 @@ def element(tag: str, attributes: str, parent: Node) -> Node:
     elif zone != "article" and (tag == "main" or role == "main"):
         zone = "main"
     mark = parent.mark
-    if mark != NOISE:
-        words = {w.lower() for n in names for w in _WORD.findall(n)}
-        if tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS:
+    if mark == FORM and tag in ("article", "main"):
+        mark = MAIN
+    if mark not in (NOISE, FORM) and tag not in ("html", "body", "main"):
+        # An article's class names also tell about its page; only whole names count there.
+        words = {w.lower() for n in names for w in (n.split() if tag == "article" else _WORD.findall(n))}
+        if tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS or not zone and (tag in OUTER_NOISE_TAGS or words & OUTER_NOISE_WORDS):
             mark = NOISE
-        elif not zone and (tag in OUTER_NOISE_TAGS or words & OUTER_NOISE_WORDS) and tag not in ("body", "html"):
-            mark = NOISE
-        elif zone:
-            mark = MAIN
+        elif tag == "form":
+            mark = FORM
+    if mark not in (NOISE, FORM) and zone:
+        mark = MAIN
     return Node(tag, key, mark, zone)
 
 

@@ -22,6 +22,8 @@ def test_page():
     <section id="comments"><p>reader says</p></section></article></main><footer>&copy;</footer></body></html>"""
     assert mainhtml.main_text(page, set()) == "A & B\nOne two three four\nfive six\nx\ny"
     assert mainhtml.main_text("", set()) == ""
+    wrapped = "<body class='single no-comments'><form id=f><div>log in</div><article class='post comments-open'><p>in</p><form>f</form></article></form><article class=comment>r</article>"
+    assert mainhtml.main_text(wrapped, set()) == "in"
     assert mainhtml.main_text("plain <b>text", set()) == "plain text"
     assert mainhtml.main_text("a < b <p class='x\" >c", set()).startswith("a < b")
 
