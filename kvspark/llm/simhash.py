@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts
+from .common import Scratch, map_texts, small_batches
 from .components import components
 
 LEAF, FAN = 16, 8
@@ -283,9 +283,11 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 3, large: int = 1 <
         hot = keyed.join(big, ["part", "key"], "left_semi").select("part", "key", "fp").mapInArrow(deal, schema)
         cold = keyed.join(big, ["part", "key"], "left_anti").select("part", "key", "fp")
         dealt = cold.union(hot)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    small_batches(spark, 1 << 16)  # of 24 bytes
     found = dealt.repartition(F.col("part"), F.col("key")).sortWithinPartitions("part", "key").mapInArrow(_link_sorted(radius), _pairs_schema())
-    return scratch.save(found, "found")
+    found = scratch.save(found, "found")
+    small_batches(spark)
+    return found
 
 
 def _native_gather(code, positions: list[int]):
