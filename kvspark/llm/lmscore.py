@@ -33,6 +33,8 @@ from .common import Scratch, as_bytes, small_batches
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _U = np.uint64
+#: Text whose n-grams make a shard, for a task to hold as a whole.
+SHARD_MB = 12
 #: Keys held by a counting task before they are sorted and sent off.
 _HELD = 1 << 21
 
@@ -304,11 +306,12 @@ def score(
     """docs (columns keep) with n_tokens, n_known, train_tokens, base_score, score.
 
     filter_mb bounds the broadcast filter, frequent the broadcast exact counts (16 bytes each).
-    Shards follow the number of training documents.
+    Shards follow the bytes of the training texts: SHARD_MB each, 16 at least.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lmscore")
-    shards = max(16, -(-training.count() // 4000))
+    size = training.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).head()[0] or 0
+    shards = max(16, -(-size // (SHARD_MB << 20)))
     levels, block_bytes = Levels(), max(8, filter_mb * 2**20 // shards // 8 * 8)
     filled = fill_shards(count_shards(training, order, shards, text_col), shards, block_bytes, hashes, levels)
     filled = scratch.save(filled, "shards")
