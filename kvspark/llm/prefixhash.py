@@ -130,22 +130,25 @@ def _values(text: PrefixHash, begin: int = 0) -> np.ndarray:
     return _stir(text.spans(SPAN, begin)) >> _U(64 - _VALUE_BITS)
 
 
-def printed(text: PrefixHash, values: np.ndarray) -> str:
-    return f"{text.whole():016x}" + "".join(f"{v:010x}" for v in values.tolist())
+def packed(text: PrefixHash, values: np.ndarray) -> bytes:
+    """8 bytes of the whole text's hash, then 5 bytes of each of the least values."""
+    return text.whole().to_bytes(8, "big") + values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
-def likeness(a: str, b: str) -> float:
-    """Of two fingerprints."""
+def likeness(a: bytes | str, b: bytes | str) -> float:
+    """Of two fingerprints, as bytes or hex digits."""
+    a, b = (bytes.fromhex(f) if isinstance(f, str) else f for f in (a, b))
     if a == b:
         return 1.0
-    x, y = ({f[i : i + 10] for i in range(16, len(f), 10)} for f in (a, b))
+    x, y = ({f[i : i + 5] for i in range(8, len(f), 5)} for f in (a, b))
     union = sorted(x | y)[:KEPT]
     return sum(v in x and v in y for v in union) / len(union) if union else 0.0
 
 
 def fingerprint(text: str, powers: _Powers | None = None) -> str:
+    """Hex digits."""
     hashed = PrefixHash(codes(text), powers or _Powers())
-    return printed(hashed, _least(_values(hashed)))
+    return packed(hashed, _least(_values(hashed))).hex()
 
 
 class _Document:
@@ -156,7 +159,7 @@ class _Document:
         self.points = codes(self.text)
         self.hashed = PrefixHash(self.points, powers)
         self.values = _values(self.hashed)
-        self.print = printed(self.hashed, _least(self.values))
+        self.print = packed(self.hashed, _least(self.values))
 
 
 def compare(doc: _Document, follower: _Document, powers: _Powers) -> tuple:
@@ -171,10 +174,10 @@ def compare(doc: _Document, follower: _Document, powers: _Powers) -> tuple:
         values = np.concatenate([_least(doc.values[:fresh]), _values(edited, fresh)])
     else:
         values = _values(edited)
-    edited_print = printed(edited, _least(values))
+    edited_print = packed(edited, _least(values))
     edited_text = doc.text[:kept] + follower.text[:cut]
     return (
-        hashlib.sha256(edited_text.encode("utf-8", "replace")).hexdigest(),
+        hashlib.sha256(edited_text.encode("utf-8", "replace")).digest(),
         edited_print,
         likeness(doc.print, edited_print),
         likeness(doc.print, follower.print),
@@ -182,14 +185,15 @@ def compare(doc: _Document, follower: _Document, powers: _Powers) -> tuple:
     )
 
 
-_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+#: prints holds both fingerprints, which share most of their values, one after the other.
+_NAMES = ["doc_id", "n_chars", "sha", "prints", "edited_at", "near_edited", "near_next", "common_prefix"]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+_SCHEMA = "doc_id long, n_chars long, sha binary, prints binary, edited_at int, near_edited double, near_next double, common_prefix long"
 
 
 def _row(doc: _Document, follower: _Document, powers: _Powers) -> tuple:
     sha, edited, near_edited, near_next, common = compare(doc, follower, powers)
-    return doc.ident, doc.hashed.n, sha, doc.print, edited, near_edited, near_next, common
+    return doc.ident, doc.hashed.n, sha, doc.print + edited, len(doc.print), near_edited, near_next, common
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +231,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield batch_of([(ident, *[None] * 7)], place, text or b"")
 
     small_batches(docs.sparkSession, 200)
-    seen = scratch.save(ordered.mapInArrow(run, _SCHEMA + ", part long, place int, text binary"), "seen")
+    seen = scratch.save(ordered.mapInArrow(run, _SCHEMA + ", part long, place int, text binary"), "seen", compression="zstd")
     firsts = seen.where("place = 2").select("part", F.col("text").alias("next_text"))
     parts = Window.orderBy("part")  # a number a partition
     follows = firsts.select("part").select("part", F.coalesce(F.lead("part").over(parts), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("next"))
@@ -246,7 +250,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
-    return seen.where("place = 0").select(*_NAMES).unionByName(ends.mapInArrow(meet, _SCHEMA))
+    rows = seen.where("place = 0").select(*_NAMES).unionByName(ends.mapInArrow(meet, _SCHEMA))
+    digits = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        digits("sha").alias("edited_sha256"),
+        digits(F.expr("substring(prints, 1, edited_at)")).alias("fingerprint"),
+        digits(F.expr("substring(prints, edited_at + 1)")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "common_prefix",
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:
