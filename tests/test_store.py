@@ -295,3 +295,48 @@ def test_stream(spark, store, tmp_path):
     q = apply_stream(stream, store, b"b", "t", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert held(store) == {b"k0": b"15", b"k1": b"16", b"k2": b"17", b"k3": b"18"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_transactions_against_a_dictionary(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    key = lambda: bytes(rng.choices(b"\x00a\xff", k=rng.randrange(4)))
+    want: dict[bytes, bytes] = {}
+    path = str(tmp_path / "s")
+    with Store.open(spark, path, Options(compact_after=2)) as store:
+        with store.update() as tx:
+            tx.create_bucket(b"b")
+        for _ in range(6):
+            now = dict(want)
+            tx = store.begin(write=True)
+            b = tx.bucket(b"b")
+            for _ in range(8):
+                k, kind = key(), rng.random()
+                if kind < 0.6:
+                    now[k] = bytes(rng.choices(b"xyz", k=rng.choice([0, 1, 1024, 1025])))
+                    b.put(k, now[k])
+                elif kind < 0.8 and k in now:
+                    b.remove(k)
+                    del now[k]
+                elif kind > 0.95:
+                    bulk = {key(): b"bulk" for _ in range(3)}
+                    b.put_df(spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in bulk.items()], "key binary, value binary"))
+                    now |= bulk
+            assert dict(b.items()) == now
+            if rng.random() < 0.7:
+                tx.commit()
+                want = now
+            else:
+                tx.rollback()
+        stat = store.status()["Buckets"]["b"]
+        assert stat == {"ItemsN": len(want), "BlobsN": sum(len(v) > 1024 for v in want.values()), "BytesInUse": sum(len(k) + len(v) for k, v in want.items())}
+    with Store.open(spark, path) as store, store.view() as tx:
+        c, seen = tx.bucket(b"b").cursor(), []
+        item = c.first()
+        while item != (None, None):
+            seen.append(item)
+            item = c.next()
+        assert seen == sorted(want.items())
+        for k in (b"", b"a", b"a\xff", b"\xff\xff\xff\xff"):
+            after = [x for x in sorted(want) if x >= k]
+            assert c.seek(k)[0] == (after[0] if after else None)
