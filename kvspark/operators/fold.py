@@ -38,10 +38,11 @@ def remove(b: DataFrame, keys: DataFrame) -> DataFrame:
 
 def sequences(log: DataFrame) -> DataFrame:
     """log (bucket, seq) with id, the number that the bucket's counter gives the row: positions
-    in (bucket, seq) order, less those of the buckets before."""
-    placed = positions(log.select("bucket", "seq"), F.asc("bucket"), F.asc("seq"))
-    starts = placed.groupBy("bucket").agg(F.min("pos").alias("start"))
-    return placed.join(starts, "bucket").select("bucket", "seq", (F.col("pos") - F.col("start") + 1).alias("id"))
+    in (bucket, seq) order, less the sizes of the buckets before."""
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = log.groupBy("bucket").count().select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    placed = positions(log.select("bucket", "seq"), "bucket", "seq")
+    return placed.join(starts, "bucket").select("bucket", "seq", (F.col("pos") - F.col("start")).alias("id"))
 
 
 def sequence(log: DataFrame) -> DataFrame:

@@ -60,17 +60,17 @@ def prefix(b: DataFrame, start: bytes) -> DataFrame:
 
 def forward(b: DataFrame) -> DataFrame:
     """All rows with their position in key order."""
-    return positions(b, F.asc("key"))
+    return positions(b, "key")
 
 
 def reverse(b: DataFrame, begin: bytes | None = None) -> DataFrame:
     """Rows at or before begin (all if None) with their position, going back."""
-    return positions(b if begin is None else b.where(F.col("key") <= _lit(begin)), F.desc("key"))
+    return positions(b if begin is None else b.where(F.col("key") <= _lit(begin)), "key", descending=True)
 
 
 def take(b: DataFrame, begin: bytes, rows: int) -> DataFrame:
     """The first rows at or after begin, with their position."""
-    return positions(b.where(F.col("key") >= _lit(begin)).orderBy("key").limit(rows), F.asc("key"))
+    return positions(b.where(F.col("key") >= _lit(begin)).orderBy("key").limit(rows), "key")
 
 
 def neighbours(b: DataFrame) -> DataFrame:
@@ -83,4 +83,4 @@ def take_while(b: DataFrame, fails: Column) -> DataFrame:
     has seen. The failing key is found by one aggregate."""
     stop = b.where(fails).agg(F.min("key").alias("_stop"))
     seen = b.join(F.broadcast(stop), F.col("_stop").isNull() | (F.col("key") < F.col("_stop"))).drop("_stop")  # one row
-    return positions(seen, F.asc("key"))
+    return positions(seen, "key")

@@ -202,13 +202,13 @@ def snapshot_read(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY bucket) AS pos, bucket FROM (SELECT DISTINCT bucket FROM b_docs) t")
 def list_buckets(spark, d):
-    return order.positions(document_buckets(spark, d).select("bucket").distinct(), F.asc("bucket"))
+    return order.positions(document_buckets(spark, d).select("bucket").distinct(), "bucket")
 
 
 @query("SELECT row_number() OVER (ORDER BY bucket) AS pos, bucket FROM (SELECT DISTINCT bucket FROM b_docs WHERE bucket <> 'en') t")
 def delete_bucket(spark, d):
     left = document_buckets(spark, d).where("bucket <> 'en'")
-    return order.positions(left.select("bucket").distinct(), F.asc("bucket"))
+    return order.positions(left.select("bucket").distinct(), "bucket")
 
 
 @query(

@@ -48,10 +48,10 @@ def test_ranges_reach_the_scan(spark, tmp_path):
 
 def test_positions_without_a_single_partition(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"))
-    out = order.positions(df, F.asc("x"))
+    out = order.positions(df, "x")
     got = sorted((r.x, r.pos) for r in out.collect())
     assert [p for _, p in got] == list(range(1, 5001))
-    assert order.positions(df.limit(0), F.asc("x")).collect() == []
+    assert order.positions(df.limit(0), "x").collect() == []
     near = {r.x: (r.n, r.p) for r in order.neighbours(df, "x", "n", "p").collect()}
     xs = sorted(near)
     assert all(near[x] == (xs[i + 1] if i + 1 < len(xs) else None, xs[i - 1] if i else None) for i, x in enumerate(xs))
