@@ -180,10 +180,15 @@ class Network:
 
 
 def sample(docs: DataFrame, sample_rows: int, sample_chars: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """At most sample_rows labelled documents, those with the least hashes of each label."""
+    """At most sample_rows labelled documents, those with the least hashes of each label. Only a
+    share of a label's rows, by hash, takes part, so that about twice the sample is ranked at most."""
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     mark = F.xxhash64(F.col(f"`{id_col}`"), F.lit("language sample"))
     slim = docs.select(lang.alias("lang"), mark.alias("mark")).where("lang is not null")
+    # A sample holds no more labels than rows, so the table of shares is as small as that.
+    share = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows)
+    share = share.select("lang", (F.lit(2.0 * sample_rows) / F.col("count")).alias("share"))
+    slim = slim.join(F.broadcast(share), "lang").where(F.pmod("mark", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     ranked = slim.withColumn("rank", rank).where(F.col("rank") <= sample_rows)
     chosen = ranked.orderBy("rank", "mark").limit(sample_rows).select("lang", "mark").distinct()
