@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import Scratch, map_texts
 
 #: Lower-cases A-Z; every byte that no word holds becomes a space.
 _TABLE = bytes(
@@ -120,42 +120,30 @@ _FIELDS = [
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _searcher(blobs: list, size: int, percent: int) -> Callable:
-    """blobs: broadcasts of item blocks; with more than one, they are searched in turn, so that
-    a task holds the tables of one block at a time."""
+def _columns(counts: list[int], spans: list[list], names: list[list[str]], percent: int) -> list[pa.Array]:
+    """Of number of words, merged spans and sorted items of each text."""
+    hits = [sum(z - a for a, z in s) for s in spans]
+    return [
+        pa.array(counts, pa.int64()),
+        pa.array(hits, pa.int64()),
+        pa.array([len(x) for x in names], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
+        pa.array([h > 0 and 100 * h >= percent * n for h, n in zip(hits, counts)], pa.bool_()),
+        pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _ARROW_SPAN),
+        pa.array(names, pa.list_(pa.string())),
+    ]
 
-    def make():
-        held: dict[int, list[WuManber]] = {}
 
-        def tables(k: int) -> list[WuManber]:
-            if k not in held:
-                held.clear()
-                held[k] = compile_items(blobs[k].value, size)
-            return held[k]
+def _searcher(items, size: int, percent: int) -> Callable:
+    """items: a broadcast block of items."""
+
+    def make():
+        tables = compile_items(items.value, size)
 
         def run(texts):
             rows = [words(t) for t in texts]
-            spans: list[list] = [[] for _ in rows]
-            items: list[set] = [set() for _ in rows]
-            for k in range(len(blobs)):
-                t = tables(k)
-                for i, row in enumerate(rows):
-                    s, found = scan(t, row)
-                    if s:
-                        spans[i] += s
-                        items[i] |= found
-            spans = [merged(s) for s in spans]
-            hits = [sum(z - a for a, z in s) for s in spans]
-            names = [sorted(x) for x in items]
-            return [
-                pa.array([len(r) for r in rows], pa.int64()),
-                pa.array(hits, pa.int64()),
-                pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                pa.array([h > 0 and 100 * h >= percent * len(r) for h, r in zip(hits, rows)], pa.bool_()),
-                pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _ARROW_SPAN),
-                pa.array(names, pa.list_(pa.string())),
-            ]
+            found = [scan(tables, row) for row in rows]
+            return _columns([len(r) for r in rows], [s for s, _ in found], [sorted(x) for _, x in found], percent)
 
         return run
 
@@ -163,8 +151,8 @@ def _searcher(blobs: list, size: int, percent: int) -> Callable:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_mb: float) -> list:
-    """Broadcasts of at most about block_mb of texts each. The benchmark's size is measured; one
-    that is larger is dealt into blocks by hash, and every block is searched."""
+    """Broadcasts of at most about block_mb of texts each, whose tables take some 100 times as
+    much. The benchmark's size is measured; a larger one is dealt into blocks by hash."""
     spark = benchmark.sparkSession
     rows = benchmark.select(
         F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("id"),
@@ -189,13 +177,43 @@ def search(
     item_text_col: str = "text",
     text_col: str = "text",
     keep: Iterable[str] | None = None,
-    block_mb: float = 16,
+    block_mb: float = 2,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word positions)
-    and items. contaminated: some word is hit, and percent of all words at least. One pass over
-    the documents, no shuffle."""
-    blobs = item_blocks(benchmark, id_col, item_text_col, block_mb)
-    return map_texts(docs, text_col, _FIELDS, _searcher(blobs, size, percent), keep)
+    and items. contaminated: some word is hit, and percent of all words at least.
+
+    One pass over the documents, no shuffle. A benchmark of more than block_mb takes a pass a
+    block; what the passes find is put together by row."""
+    blocks = item_blocks(benchmark, id_col, item_text_col, block_mb)
+    if len(blocks) == 1:
+        return map_texts(docs, text_col, _FIELDS, _searcher(blocks[0], size, percent), keep)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in _FIELDS}]
+    named = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)]
+    rows = scratch.save(docs.select(*named, F.col(f"`{text_col}`").alias("t"), F.monotonically_increasing_id().alias("rid")), "rows")
+    passes = []
+    for k, block in enumerate(blocks):
+        found = map_texts(rows, "t", _FIELDS, _searcher(block, size, percent), ["rid"])
+        passes.append(scratch.save(found.select("rid", "n_words", "hit_spans", "items").where(F.lit(k == 0) | (F.col("n_hit") > 0)), f"pass{k}"))
+    each = passes[0]
+    for more in passes[1:]:
+        each = each.unionByName(more)
+    whole = each.groupBy("rid").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    joined = rows.drop("t").join(whole, "rid").select(*[f"k{i}" for i in range(len(kept))], "n_words", "hit_spans", "items")
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in kept] + _FIELDS)
+
+    def finish(batches):
+        for batch in batches:
+            n = len(kept)
+            counts, spans, names = (batch.column(n + i).to_pylist() for i in range(3))
+            together = [merged((x["start"], x["end"]) for x in s) for s in spans]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *_columns(counts, together, names, percent)], names=schema.names)
+
+    return joined.mapInArrow(finish, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
