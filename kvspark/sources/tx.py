@@ -44,6 +44,7 @@ class Bucket:
         self.sequence_now = entry.sequence
         self._single: dict[bytes, bytes | None] = {}  # None: removed
         self._bulk: list[DataFrame] = []  # logs, in order, before the single ones
+        self._only_puts = True  # in the bulk logs
 
     # Reads
 
@@ -51,6 +52,8 @@ class Bucket:
     def df(self) -> DataFrame:
         """All rows, as this transaction sees them."""
         self.tx._open()
+        if not self.entry.folders() and len(self._bulk) == 1 and self._only_puts and not self._single:
+            return self._bulk[0].select("key", "value")  # a first load: unique keys, nothing to fold
         base, logs = self._stored(), self._logs()
         if not logs:
             return base
@@ -151,6 +154,7 @@ class Bucket:
     def remove_df(self, keys: DataFrame) -> None:
         """Keys that are not there are passed over."""
         self.tx._writable()
+        self._only_puts = False
         self._add(keys.select(F.col("key").cast("binary").alias("key")).distinct().select("key", F.lit(b"").alias("value"), F.lit("del").alias("op")))
 
     def _add(self, log: DataFrame) -> None:
