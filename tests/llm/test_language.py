@@ -51,4 +51,7 @@ def test_cases(spark):
     assert got[93].lang_pred == got[None].lang_pred == "en" and got[5].lang_pred == "fr"
     assert {(r.lang_pred, r.score) for r in language.query(docs.where("lang is null and doc_id = 91")).collect()} == {("und", 0.0)}
     assert language.query(docs.limit(0)).collect() == []
+    kept = language.recognised(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {90, 91, 92}
     assert language.Network(["x"]).positions("ab é".encode()) == ["x"] * 5
