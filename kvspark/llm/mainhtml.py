@@ -64,6 +64,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 
 #: Marks of branches. FORM: inside a form, which some sites wrap around the whole page.
 PLAIN, MAIN, NOISE, FORM = 0, 1, 2, 3
@@ -120,7 +121,6 @@ def parse(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     stack, blocks, nodes = [root], [], []
     pieces: list[str] = []
     at, n = 0, len(text)
-    low = None
 
     def block():
         if pieces:
@@ -147,11 +147,10 @@ def parse(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 block()
                 continue
             if not closing and not (m[3] or m[6] or "").endswith("/"):
-                low = low if low is not None else text.lower()
-                end = low.find(f"</{tag}", at)
-                if end < 0:
+                end = _RAW_END[tag].search(text, at)
+                if end is None:
                     break
-                at = end
+                at = end.start()
             continue
         if tag in INLINE:
             if tag == "br":

@@ -24,6 +24,8 @@ def test_page():
     assert mainhtml.main_text("", set()) == ""
     wrapped = "<body class='single no-comments'><form id=f><div>log in</div><article class='post comments-open'><p>in</p><form>f</form></article></form><article class=comment>r</article>"
     assert mainhtml.main_text(wrapped, set()) == "in"
+    # Letters whose lower case is longer, and names that only begin like the end of a script.
+    assert mainhtml.main_text("<p>\u0130\u0130\u0130\u0130</p><SCRIPT>a</scripts>b</Script ><p>after</p>", set()) == "\u0130\u0130\u0130\u0130\nafter"
     assert mainhtml.main_text("plain <b>text", set()) == "plain text"
     assert mainhtml.main_text("a < b <p class='x\" >c", set()).startswith("a < b")
 
