@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a range of one source holds at most, on average, and digits that it takes at least.
+RANGE_ROWS, LEAST_DIGITS = 100_000, 3
 
 
 def targets(totals: DataFrame, weights: Sequence[int], share: float, max_epochs: int) -> DataFrame:
@@ -59,12 +61,13 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    range_digits: int = 3,
+    range_digits: int | None = None,
 ) -> DataFrame:
     """One row a document: id, source, size, source_size, target, taken, mix_key.
 
     weights: of the sources in code point order, repeating. share: of all sizes. range_digits:
-    a source is cut into 16 ** range_digits ranges of keys. Only ids and counts are shuffled.
+    a source is cut into 16 ** range_digits ranges of keys; None: as many as the number of rows
+    asks for, which changes no result. Only ids and counts are shuffled.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -76,8 +79,13 @@ def mix(
         F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("skey"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), text)).alias("mix_key"),
-    ).withColumn("range", F.substring("mix_key", 1, range_digits))
+    )
     sized = scratch.save(sized, "sized")
+    if range_digits is None:
+        n, range_digits = sized.count(), LEAST_DIGITS
+        while n > RANGE_ROWS * 16**range_digits:
+            range_digits += 1
+    sized = sized.withColumn("range", F.substring("mix_key", 1, range_digits))
     # Both groupings combine on the map side, so a hot source adds a row a task and range.
     ranges = sized.groupBy("skey", "source", "range").agg(F.sum("size").alias("range_size"))
     totals = ranges.groupBy("skey", "source").agg(F.sum("range_size").alias("source_size"))

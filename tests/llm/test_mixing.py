@@ -27,7 +27,7 @@ def check(rows, weights=(5, 2, 1), most=3):
     assert not levels or max(levels) - min(levels) < 1e-6 * max(levels)  # the rest is shared by weight
 
 
-def test_cases(spark):
+def test_cases(spark, monkeypatch):
     rows = [(i, "w " * (i % 7), "abc"[i % 3] if i % 50 else None, i) for i in range(300)]
     rows += [(5, "same words here", "a", 1)] * 4 + [(None, "no id", "b", 1), (900, None, "empty", 1), (901, "x\u00a0y z\x0bq", "d", 1), (902, "l " * 60000, "c", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long")
@@ -37,6 +37,10 @@ def test_cases(spark):
     assert {r.size for r in got if r.doc_id in (900, 901)} == {0, 3}
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(key, mixing.mix(docs.repartition(5)).collect())) == sorted(map(key, got))  # reruns agree
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    monkeypatch.setattr(mixing, "LEAST_DIGITS", 0)
+    assert sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, got))  # so do other ranges
+    assert sorted(map(key, mixing.mix(docs, range_digits=0).collect())) == sorted(map(key, got))
     assert mixing.query(docs.limit(0)).collect() == []
     assert [(r.target, r.taken) for r in mixing.mix(docs.where("doc_id = 900")).collect()] == [(0.0, 0)]
 
