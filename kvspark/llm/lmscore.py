@@ -35,6 +35,9 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _U = np.uint64
 #: Text whose n-grams make a shard, for a task to hold as a whole.
 SHARD_MB = 12
+#: Tasks that shards are dealt to at most. A task takes its shards one after the other, sorted, so
+#: more of them cost it time and disk, but no memory.
+MOST_TASKS = 1 << 16
 #: Keys held by a counting task before they are sorted and sent off.
 _HELD = 1 << 21
 
@@ -249,7 +252,7 @@ def fill_shards(sent: DataFrame, shards: int, block_bytes: int, hashes: int, lev
 
     small_batches(sent.sparkSession, 64)
     schema = "shard long, vocab binary, block binary, distinct long, total long, hist array<long>"
-    return sent.repartition(max(1, shards), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return sent.repartition(min(max(1, shards), MOST_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 class Model:
@@ -441,7 +444,7 @@ def score(
         first.where("blob is not null").select("shard", F.lit(1), "blob")
     )
     small_batches(spark, 256)
-    more = both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "kind").mapInArrow(meet, "rid long, more double, more_known long")
+    more = both.repartition(min(max(1, shards), MOST_TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(meet, "rid long, more double, more_known long")
     more = scratch.save(more, "more").groupBy("rid").agg(F.sum("more").alias("more"), F.sum("more_known").alias("more_known"))
     return (
         first.where("blob is null")

@@ -61,10 +61,12 @@ def test_filter():
     assert np.unpackbits(np.frombuffer(tight, np.uint8)).mean() < 0.6
 
 
-def test_cases(spark):
+def test_cases(spark, monkeypatch):
     rows = [(1, None), (2, ""), (3, "A b a"), (3, "A b a"), (None, "b c"), (7, "x " * 50000), (8, "É é")]
     docs = spark.createDataFrame([(i, t, 1.5, "k") for i, t in rows], "doc_id long, text string, score double, blob string")
     same([tuple(r) for r in lmscore.query(docs).collect()], plain(rows))
+    monkeypatch.setattr(lmscore, "MOST_TASKS", 3)  # several shards a task
+    same([tuple(r) for r in lmscore.query(docs).collect()], plain(rows))
     assert lmscore.query(docs.limit(0)).collect() == []
     only = docs.where("doc_id = 3")
     assert {r.n_known for r in lmscore.score(only, only.limit(0)).collect()} == {0}
