@@ -2,13 +2,13 @@
 
 N-grams of all training documents are counted exactly, by their 64-bit hashes, in shards of the
 hash range. Counts are quantised on a logarithmic scale; an n-gram of level q enters the filter as
-q items (n-gram, 1) .. (n-gram, q). A shard fills its own block of the filter, whose whole size is
-fixed, so the broadcast stays bounded. If the n-grams of a shard exceed its block, those below the
-least count that fits stay out. A count is read back by probing levels until one is missing;
-probabilities interpolate the n-gram estimates down to the smoothed unigram.
+q items (n-gram, 1) .. (n-gram, q). A shard fills its own block of the filter, whose size follows
+its items at fixed bits an item, so none stays out. A count is read back by probing levels until
+one is missing; probabilities interpolate the n-gram estimates down to the smoothed unigram.
 
-The base score needs exact counts: those of at most ``frequent`` tokens are broadcast, the others
-meet the tokens of the documents in the shards.
+The filter is never held as a whole: documents are dealt to units, and the distinct n-grams of a
+unit meet the blocks in the shards. Single tokens have exact counts: those of at most ``frequent``
+tokens are broadcast, the others are looked up in the shards too.
 
 Cases: null text is empty, that is one end token; a null id counts as empty text when folds are
 dealt; repeated rows count and score as often as they occur; without training documents all counts
@@ -40,6 +40,8 @@ SHARD_MB = 12
 MOST_TASKS = 1 << 16
 #: Keys held by a counting task before they are sorted and sent off.
 _HELD = 1 << 21
+#: Text of the documents that ask the shards together.
+UNIT_BYTES = 6 << 20
 
 
 def stir(x: np.ndarray) -> np.ndarray:
@@ -89,18 +91,32 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, for the codec of the shuffle to find the zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unsqueeze(blob: bytes, n: int, at: int, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T.copy().view(kind).ravel()
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys; their running sum gives the keys back."""
+    return np.diff(keys, prepend=_U(0))
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Keys counted once need no count."""
     more = counts > 1
     head = np.array([len(keys) - more.sum(), more.sum()], np.int64)
-    return b"".join(x.tobytes() for x in (head, keys[~more], keys[more], counts[more].astype(np.int64)))
+    return head.tobytes() + squeeze(gaps(keys[~more])) + squeeze(gaps(keys[more])) + squeeze(counts[more].astype(np.int64))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    one, more = np.frombuffer(blob, np.int64, 2)
-    keys = np.frombuffer(blob, np.uint64, one + more, 16)
-    counts = np.frombuffer(blob, np.int64, more, 16 + 8 * (one + more))
-    return keys, np.concatenate([np.ones(one, np.int64), counts])
+    one, more = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    keys = [np.cumsum(unsqueeze(blob, n, at), dtype=np.uint64) for n, at in ((one, 16), (more, 16 + 8 * one))]
+    counts = unsqueeze(blob, more, 16 + 8 * (one + more), np.int64)
+    return np.concatenate(keys), np.concatenate([np.ones(one, np.int64), counts])
 
 
 class Levels:
@@ -133,6 +149,12 @@ class LogBloom:
         for i in range(self.hashes):
             yield (((low + _U(i) * step) & _U(0xFFFFFFFF)) * size) >> _U(32)
 
+    @staticmethod
+    def bytes_for(counts: np.ndarray, hashes: int, levels: Levels) -> int:
+        """Of a block that leaves none of these out."""
+        items = int(levels.of(counts).sum()) if len(counts) else 0
+        return max(8, math.ceil((items + 1) * hashes / math.log(2) / 64) * 8)
+
     @staticmethod
     def block(keys: np.ndarray, counts: np.ndarray, block_bytes: int, hashes: int, levels: Levels) -> bytes:
         """A shard's block, at most about half of its bits set."""
@@ -155,6 +177,10 @@ class LogBloom:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts."""
+        return self.levels.count(self.level(keys))
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Estimated levels, 0 for keys that are not in."""
         found = np.zeros(len(keys), np.int64)
         base = shard_of(keys, self.shards) * self.block_bytes
         live, level = np.arange(len(keys)), 0
@@ -165,7 +191,7 @@ class LogBloom:
                 hit &= (self.bits[at + (place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8) & 1).astype(bool)
             live = live[hit]
             found[live] = level
-        return self.levels.count(found)
+        return found
 
 
 def _binary(rows: list) -> pa.Array:
@@ -212,9 +238,9 @@ def count_shards(docs: DataFrame, order: int, shards: int, text_col: str) -> Dat
     return docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, _SENT)
 
 
-def fill_shards(sent: DataFrame, shards: int, block_bytes: int, hashes: int, levels: Levels) -> DataFrame:
+def fill_shards(sent: DataFrame, shards: int, hashes: int, levels: Levels) -> DataFrame:
     """(shard, vocab, block, distinct, total, hist): exact token counts of the shard, its block of
-    the filter, and how many tokens have counts of so many binary digits."""
+    the filter with all longer n-grams, and how many tokens have counts of so many binary digits."""
 
     def run(batches):
         now, held = None, []
@@ -228,7 +254,7 @@ def fill_shards(sent: DataFrame, shards: int, block_bytes: int, hashes: int, lev
             empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             keys, counts = tally(*(np.concatenate(x) for x in zip(empty, *words)))
             more, most = tally(*(np.concatenate(x) for x in zip(empty, *rest)))
-            block = LogBloom.block(np.concatenate([keys, more]), np.concatenate([counts, most]), block_bytes, hashes, levels)
+            block = LogBloom.block(more, most, LogBloom.bytes_for(most, hashes, levels), hashes, levels)
             digits = np.frexp(counts.astype(np.float64))[1] if len(counts) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -258,12 +284,9 @@ def fill_shards(sent: DataFrame, shards: int, block_bytes: int, hashes: int, lev
 class Model:
     """What a scoring task gets."""
 
-    def __init__(self, keys, counts, bloom: LogBloom, order: int, total: int, distinct: int, prior: float):
-        self.keys, self.counts, self.bloom, self.order = keys, counts, bloom, order
-        self.total, self.distinct, self.prior = total, distinct, prior
-        end = stir(np.array([_END]))
-        known = self.exact(end)
-        self.ends = float(known[0] if known[0] >= 0 else bloom.count(end)[0])
+    def __init__(self, keys, counts, order: int, total: int, distinct: int, ends: int, prior: float):
+        self.keys, self.counts, self.order = keys, counts, order
+        self.total, self.distinct, self.ends, self.prior = total, distinct, float(ends), prior
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
@@ -275,19 +298,13 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.counts[at], -1)
 
-    def estimates(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts, each distinct key probed once."""
-        once, back = np.unique(keys, return_inverse=True)
-        return self.bloom.count(once)[back]
-
-    def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each token's probability given its history."""
-        counts = self.estimates(ngrams(ids, starts, 1))
+    def log10(self, counts: np.ndarray, longer: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Of each token's probability given its history, from the counts of the tokens and of the
+        n-grams of order 2, 3, .. that end at them."""
         p = self.unigram(counts)
-        for n in range(2, self.order + 1):
+        for seen in longer:
             # What precedes: the (n-1)-gram that ends at the token before; at a text's start its
             # count is unknown, the number of ends stands for it.
-            seen = self.estimates(ngrams(ids, starts, n))
             before = np.concatenate(([0.0], counts[:-1]))
             before[starts] = self.ends
             p = (np.minimum(seen, before) + self.prior * p) / (before + self.prior)
@@ -295,6 +312,55 @@ class Model:
         return np.log10(p)
 
 
+class Unit:
+    """Documents that ask the shards together: their tokens and distinct n-grams."""
+
+    def __init__(self, each: list[np.ndarray], model: Model):
+        self.sizes = np.array([len(x) for x in each])
+        ids = np.concatenate(each)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.words, self.back = np.unique(ngrams(ids, self.starts, 1), return_inverse=True)
+        self.exact = model.exact(self.words)
+        grams = [ngrams(ids, self.starts, n) for n in range(2, model.order + 1)]
+        self.grams, back = np.unique(np.concatenate(grams), return_inverse=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.longer = np.split(back, len(grams)) if grams else []
+
+    def questions(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        """(shard, blob): rare tokens and n-grams of the shard."""
+        rare = self.words[self.exact < 0]
+        cuts = [np.searchsorted(shard_of(keys, shards), np.arange(shards + 1)) for keys in (rare, self.grams)]
+        for s in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist():
+            asked = [keys[c[s] : c[s + 1]] for keys, c in zip((rare, self.grams), cuts)]
+            yield s, np.array([len(x) for x in asked], np.int64).tobytes() + b"".join(squeeze(gaps(x)) for x in asked)
+
+    def score(self, answers: list[bytes], model: Model, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """answers: of the shards in order. Known tokens, base score and score of each document."""
+        counts, found = self.exact.copy(), []
+        rare = []
+        for blob in answers:
+            n, more = np.frombuffer(blob, np.int64, 2)
+            rare.append(unsqueeze(blob, int(n), 16, np.int64))
+            found.append(np.frombuffer(blob, np.uint8, more, 16 + 8 * n))
+        counts[counts < 0] = np.concatenate([np.zeros(0, np.int64), *rare])
+        seen = levels.count(np.concatenate([np.zeros(0, np.uint8), *found]).astype(np.int64))
+        base = np.log10(model.unigram(counts))[self.back]
+        counts = counts[self.back]
+        full = model.log10(counts.astype(np.float64), [seen[x] for x in self.longer], self.starts)
+        return tuple(np.add.reduceat(x, self.starts) for x in ((counts > 0).astype(np.int64), base, full))
+
+
+def answer(blob: bytes, keys: np.ndarray, counts: np.ndarray, bloom: LogBloom | None) -> bytes:
+    """Exact counts of the tokens asked for, levels (a byte each) of the n-grams."""
+    n, more = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    words, grams = (np.cumsum(unsqueeze(blob, k, at), dtype=np.uint64) for k, at in ((n, 16), (more, 16 + 8 * n)))
+    c = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+        c = np.where(keys[at] == words, counts[at], 0)
+    found = bloom.level(grams) if bloom else np.zeros(more, np.int64)
+    return blob[:16] + squeeze(c) + np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
 def score(
     docs: DataFrame,
     training: DataFrame,
@@ -308,15 +374,19 @@ def score(
 ) -> DataFrame:
     """docs (columns keep) with n_tokens, n_known, train_tokens, base_score, score.
 
-    filter_mb bounds the broadcast filter, frequent the broadcast exact counts (16 bytes each).
-    Shards follow the bytes of the training texts: SHARD_MB each, 16 at least.
+    filter_mb bounds a shard's block of the filter, frequent the broadcast exact counts (16 bytes
+    each). Shards follow the bytes of the training texts: SHARD_MB each, 16 at least, and so many
+    that the blocks keep to their bound. No n-gram is left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lmscore")
-    size = training.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).head()[0] or 0
-    shards = max(16, -(-size // (SHARD_MB << 20)))
-    levels, block_bytes = Levels(), max(8, filter_mb * 2**20 // shards // 8 * 8)
-    filled = fill_shards(count_shards(training, order, shards, text_col), shards, block_bytes, hashes, levels)
+    size, ends = training.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long")), F.count("*")).head()
+    size = size or 0
+    # A word takes two bytes of text at least, and c equal n-grams at most about c items.
+    most_mb = (order - 1) * (size / 2 + ends) * 1.4 * hashes / math.log(2) / 8 / 2**20
+    shards = max(16, -(-size // (SHARD_MB << 20)), math.ceil(most_mb / filter_mb))
+    levels = Levels()
+    filled = fill_shards(count_shards(training, order, shards, text_col), shards, hashes, levels)
     filled = scratch.save(filled, "shards")
     total, distinct = filled.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).head()
     digits = dict(filled.select(F.posexplode("hist").alias("d", "n")).groupBy("d").agg(F.sum("n")).collect())
@@ -341,122 +411,123 @@ def score(
         counts.append(np.frombuffer(r.blob, np.int64, n, 8 * n))
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order_of = np.argsort(keys)
-    bits = np.zeros(shards * block_bytes, np.uint8)
-    for r in filled.select("shard", "block").toLocalIterator():
-        bits[r.shard * block_bytes : (r.shard + 1) * block_bytes] = np.frombuffer(r.block, np.uint8)
     factor = levels.factor
     #: Plain values, so that workers can read them without this package.
-    sent = spark.sparkContext.broadcast((keys[order_of], counts[order_of], bits))
-    del keys, counts, bits
+    sent = spark.sparkContext.broadcast((keys[order_of], counts[order_of]))
+    del keys, counts
 
     def receive() -> Model:
-        keys, counts, bits = sent.value
-        bloom = LogBloom(bits, shards, block_bytes, hashes, Levels(factor))
-        return Model(keys, counts, bloom, order, int(total), int(distinct), prior)
+        return Model(*sent.value, order, int(total), int(distinct), int(ends), prior)
 
     keep = [c for c in keep if c.lower() not in {"n_tokens", "n_known", "train_tokens", "base_score", "score"}]
-    kept = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    own = [
-        T.StructField("rid", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("known", T.LongType()),
-        T.StructField("base", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("shard", T.LongType()),
-        T.StructField("blob", T.BinaryType()),
-    ]
-    own_arrow = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()]
-    names = [*keep, *(f.name for f in own)]
+    kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
 
-    def run(batches):
-        """A row a document with what the frequent tokens give, and blobs of the other tokens."""
-        m, at = receive(), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            each = [tokens(t) for t in as_bytes(batch.column(len(keep)))]
-            sizes = np.array([len(x) for x in each])
-            ids = np.concatenate(each)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            rid = np.arange(at, at + n)
-            at += n
-            once, back = np.unique(ngrams(ids, starts, 1), return_inverse=True)
-            exact = m.exact(once)
-            terms = np.where(exact >= 0, np.log10(m.unigram(np.maximum(exact, 0))), 0.0)
-            scores = np.add.reduceat(m.log10(ids, starts), starts)
-            data = [
-                pa.array(rid),
-                pa.array(sizes, pa.int64()),
-                pa.array(np.add.reduceat((exact >= 0)[back].astype(np.int64), starts)),
-                pa.array(np.add.reduceat(terms[back], starts)),
-                pa.array(scores),
-                pa.nulls(n, pa.int64()),
-                pa.nulls(n, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *data], names=names)
-            rare = np.flatnonzero(exact[back] < 0)
-            key, owner = once[back[rare]], np.repeat(np.arange(n), sizes)[rare]
-            by_key = np.argsort(key, kind="stable")
-            key, owner = key[by_key], owner[by_key]
-            cuts = np.searchsorted(shard_of(key, m.bloom.shards), np.arange(m.bloom.shards + 1))
-            rows = [
-                (s, np.int64(z - a).tobytes() + key[a:z].tobytes() + rid[owner[a:z]].tobytes())
-                for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:]))
-                if a < z
-            ]
-            if rows:
-                blank = [pa.nulls(len(rows), batch.schema.field(i).type) for i in range(len(keep))]
-                blank += [pa.nulls(len(rows), t) for t in own_arrow[:5]]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=names)
+    def deal(batches):
+        """(unit, shard, blob): the documents of each unit as one row, without a shard."""
+        unit, held, size = TaskContext.get().partitionId() << 32, [], 0
 
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            held.clear()
+            blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.nulls(1, pa.int64()), blob], names=names)
+
+        for batch in batches:
+            since = 0
+            for i, t in enumerate(as_bytes(batch.column(len(keep)))):
+                size += 1 + len(t or b"")
+                if size >= UNIT_BYTES:
+                    held.append(batch.slice(since, i + 1 - since))
+                    yield flush()
+                    unit, size, since = unit + 1, 0, i + 1
+            if since < batch.num_rows:
+                held.append(batch.slice(since))
+        if held:
+            yield flush()
+
+    def opened(blob: bytes, m: Model) -> tuple[pa.Table, Unit]:
+        rows = pa.ipc.open_stream(blob).read_all()
+        return rows, Unit([tokens(t) for c in rows.column(len(keep)).chunks for t in as_bytes(c)], m)
+
+    def ask(batches):
+        """The questions of the units to the shards."""
+        m = receive()
+        for batch in batches:
+            for unit, blob in zip(*(batch.column(i).to_pylist() for i in (0, 2))):
+                rows = list(opened(blob, m)[1].questions(shards))
+                for a in range(0, len(rows), 1000):
+                    part = list(zip(*rows[a : a + 1000]))
+                    yield pa.RecordBatch.from_arrays([pa.array([unit] * len(part[0]), pa.int64()), pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary())], names=names)
+
+    names = ["unit", "shard", "blob"]
+    schema = "unit long, shard long, blob binary"
     small_batches(spark)
-    texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    first = scratch.save(texts.mapInArrow(run, T.StructType(kept + own)), "first")
+    texts = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    first = scratch.save(texts.mapInArrow(deal, schema), "first")
 
     def meet(batches):
-        """Of each shard its token counts, then the documents' tokens."""
-        m, now, keys, counts = receive(), None, None, None
+        """Of each shard its token counts, its block, then the questions."""
+        now, keys, counts, bloom = None, None, None, None
         for batch in batches:
-            sums: list = []
-            for shard, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: list = []
+            for shard, kind, unit, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if shard != now:
-                    now, keys, counts = shard, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    now, keys, counts, bloom = shard, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
                 if kind == 0:
                     n = len(blob) // 16
                     keys, counts = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n)
-                    continue
-                n = int(np.frombuffer(blob, np.int64, 1)[0])
-                asked, rid = np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n)
-                c = np.zeros(n, np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                    c = np.where(keys[at] == asked, counts[at], 0)
-                sums.append((rid, np.log10(m.unigram(c)), (c > 0).astype(np.int64)))
-            if sums:
-                rid, base, known = (np.concatenate(x) for x in zip(*sums))
-                once, back = np.unique(rid, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(once), pa.array(np.bincount(back, base)), pa.array(np.bincount(back, known).astype(np.int64))], names=["rid", "more", "more_known"]
-                )
-
-    both = filled.select("shard", F.lit(0).alias("kind"), F.col("vocab").alias("blob")).union(
-        first.where("blob is not null").select("shard", F.lit(1), "blob")
-    )
-    small_batches(spark, 256)
-    more = both.repartition(min(max(1, shards), MOST_TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(meet, "rid long, more double, more_known long")
-    more = scratch.save(more, "more").groupBy("rid").agg(F.sum("more").alias("more"), F.sum("more_known").alias("more_known"))
-    return (
-        first.where("blob is null")
-        .join(more, "rid", "left")
-        .select(
-            *[F.col(f"`{c}`") for c in keep],
-            "n_tokens",
-            (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-            F.lit(int(total)).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-            "score",
-        )
+                elif kind == 1:
+                    bloom = LogBloom(np.frombuffer(blob, np.uint8), 1, len(blob), hashes, Levels(factor))
+                else:
+                    out.append((unit, shard, answer(blob, keys, counts, bloom)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=names)
+
+    none = F.lit(None).cast("long")
+    both = filled.select("shard", F.lit(0).alias("kind"), none.alias("unit"), F.col("vocab").alias("blob"))
+    both = both.union(filled.select("shard", F.lit(1), none, "block")).union(first.mapInArrow(ask, schema).select("shard", F.lit(2), "unit", "blob"))
+    small_batches(spark, 16)  # a unit of documents in a row
+    told = both.repartition(min(max(1, shards), MOST_TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(meet, schema)
+    told = scratch.save(told, "told")
+
+    def finish(batches):
+        """Of each unit its documents and the answers of the shards, in order."""
+        m, now, packed, answers = receive(), None, None, []
+
+        def flush():
+            if packed is None:
+                return
+            rows, unit = opened(packed, m)
+            data = [pa.array(unit.sizes, pa.int64()), *map(pa.array, unit.score(answers, m, Levels(factor)))]
+            answers.clear()
+            yield from pa.Table.from_arrays([*rows.columns[: len(keep)], *data], names=done).to_batches()
+
+        for batch in batches:
+            for unit, shard, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if unit != now:
+                    yield from flush()
+                    now = unit
+                if shard is None:
+                    packed = blob
+                else:
+                    answers.append(blob)
+        yield from flush()
+
+    found = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    done = [f.name for f in kept + found]
+    units = first.count()
+    scored = first.union(told).repartition(min(max(1, units), MOST_TASKS), "unit").sortWithinPartitions("unit", F.col("shard").asc_nulls_first())
+    scored = scored.mapInArrow(finish, T.StructType(kept + found))
+    return scored.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        "n_tokens",
+        "n_known",
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
     )
 
 

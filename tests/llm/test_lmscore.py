@@ -70,3 +70,23 @@ def test_cases(spark, monkeypatch):
     assert lmscore.query(docs.limit(0)).collect() == []
     only = docs.where("doc_id = 3")
     assert {r.n_known for r in lmscore.score(only, only.limit(0)).collect()} == {0}
+
+
+def test_no_ngram_stays_out(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 100_000, 20_000))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # Two million n-grams seen once: a filter of one MB in all had no room for them.
+    got = {r.doc_id: r for r in lmscore.score(docs, docs, filter_mb=1).collect()}
+    words = [t.split() for _, t in rows]
+    counts, pairs = Counter(w for t in words for w in [*t, None]), Counter()
+    for t in words:
+        pairs.update(zip([0, *t], [*t, None]))
+    total = sum(counts.values())
+    for i, t in enumerate(words[:5]):
+        want = 0.0
+        for a, b in zip([0, *t], [*t, None]):
+            before = counts[a] if a else len(rows)
+            p = (counts[b] + 0.5) / (total + 0.5 * (len(counts) + 1))
+            want += math.log10((min(pairs[a, b], before) + 1000 * p) / (before + 1000))
+        assert abs(got[i].score - want) < 0.02 * abs(want)
