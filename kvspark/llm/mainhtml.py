@@ -34,8 +34,11 @@ from .common import Scratch, map_texts
 
 #: Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math select object head".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript noembed noframes textarea title iframe xmp head".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced mmultiscripts mprescripts none".split()
+)
 CLOSED_BY = {
     "p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
     "li": {"li"},
@@ -47,7 +50,7 @@ CLOSED_BY = {
     "option": {"option"},
 }
 #: What tells a branch that is no main text. The second holds outside of articles only.
-NOISE_TAGS = set("nav footer aside button dialog menu".split())
+NOISE_TAGS = set("nav footer aside button dialog menu select datalist template".split())
 OUTER_NOISE_TAGS = {"header"}
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE_WORDS = set(
@@ -64,7 +67,9 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
-_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
+#: Branches that are no text, if they end at all.
+SHUT = set("select datalist template".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW | SHUT}
 
 #: Marks of branches. FORM: inside a form, which some sites wrap around the whole page.
 PLAIN, MAIN, NOISE, FORM = 0, 1, 2, 3
@@ -120,7 +125,7 @@ def parse(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     root = Node("", 0, PLAIN, "")
     stack, blocks, nodes = [root], [], []
     pieces: list[str] = []
-    at, n = 0, len(text)
+    at, n, endless = 0, len(text), set()
 
     def block():
         if pieces:
@@ -147,16 +152,21 @@ def parse(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 block()
                 continue
             if not closing and not (m[3] or m[6] or "").endswith("/"):
-                end = _RAW_END[tag].search(text, at)
+                # Without an end it is no element; its text is read like any other.
+                end = None if tag in endless else _END[tag].search(text, at)
                 if end is None:
-                    break
-                at = end.start()
+                    endless.add(tag)
+                else:
+                    at = end.start()
             continue
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
             continue
         block()
+        if tag in SHUT and not closing and (tag in endless or _END[tag].search(text, at) is None):
+            endless.add(tag)
+            continue
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:

@@ -45,3 +45,12 @@ def test_style_tree_removes_what_returns(spark):
     assert mainhtml.query(pages.limit(0)).collect() == []
     long = spark.createDataFrame([(1, "http://h.example/", "<article>" + "<p>word &lt;</p>" * 20000 + "</article>")], "page_id long, url string, html string")
     assert mainhtml.query(long).head().n_chars == 20000 * 7 - 1
+
+
+def test_raw_elements():
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>y<svg><text>label</text></svg></p><object><p>instead</p></object></article>"
+    assert mainhtml.main_text(page, set()) == "so x=2 holds\ny\nlabel\ninstead"
+    nested = "<p>a</p><template><template>in</template>out</template><select><option>o</select><p>b</p>"
+    assert mainhtml.main_text(nested, set()) == "a\nb"
+    for tag in ("svg", "iframe", "math", "textarea", "select", "template"):
+        assert mainhtml.main_text(f"<p>a</p><{tag}><p>rest of the page</p>", set()) == "a\nrest of the page"
