@@ -8,6 +8,9 @@ from every page, and the rest is printed block by block.
 
 What the mark-up itself says sets the presentation importance: 1 inside ``article`` and ``main``,
 and 0, for node and branch, where tag, role or class name tell navigation, adverts and the like.
+A name that holds such a word among others leaves the branch to its content importance. A name of
+such words alone, if they have no other sense, drops the branch, unless it holds the page's ``main`` or its only articles, or
+branches of this word hold most of the page's distinct text.
 A page with ``article`` elements outside of such branches (or else ``main``) prints these only.
 
 Cases: null HTML gives empty text, a null or odd URL belongs to the host ''; a page that is alone
@@ -60,6 +63,14 @@ NOISE_WORDS = set(
     "comments commentlist reply replies respond disqus pagination pager toolbar widget widgets skip".split()
 )
 OUTER_NOISE_WORDS = set("header banner topbar search".split())
+#: Alone in a name inside of an article, these may as well tell its subject.
+SUBJECT_WORDS = set("skip register login related recommended recommendations share sharing social alert notice notices trending widget widgets subscription menu".split())
+#: Words that say nothing about what a branch holds.
+NEUTRAL_WORDS = set(
+    "area areas bar bars block blocks body bottom box button buttons col column count container element embed fixed floating form global group header heading "
+    "icon icons inline inner item items left link links list main media message module outer page panel policy popover post posts primary row secondary "
+    "section site slot sticky title tool tools top text unit us wrap wrapper id js css mobile desktop".split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -73,6 +84,8 @@ _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW |
 
 #: Marks of branches. FORM: inside a form, which some sites wrap around the whole page.
 PLAIN, MAIN, NOISE, FORM = 0, 1, 2, 3
+#: What a node's names say in the style tree, besides PLAIN and MAIN.
+VAGUE = 4
 
 
 def sign(*parts) -> int:
@@ -82,11 +95,13 @@ def sign(*parts) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "key", "mark", "zone", "children")
+    __slots__ = ("tag", "key", "mark", "zone", "children", "parent", "words", "vague")
 
-    def __init__(self, tag: str, key: int, mark: int, zone: str):
-        #: mark: of the branch; zone: article, main or ''.
+    def __init__(self, tag: str, key: int, mark: int, zone: str, parent: Node | None = None, words=frozenset(), vague: bool = False):
+        #: mark: of the branch; zone: article, main or ''; words: of its own names, that tell noise;
+        #: vague: names of the branch hold such words among others.
         self.tag, self.key, self.mark, self.zone, self.children = tag, key, mark, zone, []
+        self.parent, self.words, self.vague = parent, words, vague
 
 
 def element(tag: str, attributes: str, parent: Node) -> Node:
@@ -108,16 +123,58 @@ def element(tag: str, attributes: str, parent: Node) -> Node:
     mark = parent.mark
     if mark == FORM and tag in ("article", "main"):
         mark = MAIN
+    words, vague = set(), parent.vague
     if mark not in (NOISE, FORM) and tag not in ("html", "body", "main"):
+        known = NOISE_WORDS if zone else NOISE_WORDS | OUTER_NOISE_WORDS
         # An article's class names also tell about its page; only whole names count there.
-        words = {w.lower() for n in names for w in (n.split() if tag == "article" else _WORD.findall(n))}
-        if tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS or not zone and (tag in OUTER_NOISE_TAGS or words & OUTER_NOISE_WORDS):
+        for name in (t for n in names for t in n.split()):
+            parts = {name.lower()} if tag == "article" else {w.lower() for w in _WORD.findall(name)}
+            noise = parts & known
+            if noise and not (zone and parts <= SUBJECT_WORDS) and all(w in known or w in NEUTRAL_WORDS or w.isdigit() for w in parts):
+                words |= noise
+            elif noise:
+                vague = True
+        if tag in OUTER_NOISE_TAGS and not zone:
+            words.add(tag)
+        if tag in NOISE_TAGS or role in NOISE_ROLES:
             mark = NOISE
         elif tag == "form":
             mark = FORM
     if mark not in (NOISE, FORM) and zone:
         mark = MAIN
-    return Node(tag, key, mark, zone)
+    return Node(tag, key, mark, zone, parent, frozenset(words), vague)
+
+
+def settle(blocks: list[tuple[Node, str]], nodes: list[Node]) -> None:
+    """Mark the branches that their names tell to be noise, as far as the whole page bears it out."""
+    if not any(x.words for x in nodes):
+        return
+    above = {None: frozenset()}
+    for x in nodes:  # parents come first
+        above[x] = above.get(x.parent, above[None]) | x.words
+    sizes, total, seen = Counter(), 0, set()
+    for x, t in blocks:
+        if x.mark != NOISE and t not in seen:
+            seen.add(t)
+            total += len(t)
+            for w in above.get(x, ()):
+                sizes[w] += len(t)
+    over = {w for w, c in sizes.items() if 2 * c > total}
+    zones = [x for x in nodes if x.tag in ("article", "main") and x.mark != NOISE and not x.words - over]
+    held = [x for x in zones if x.tag == "main"]
+    if not any(not above[x] - over for x in zones):
+        held = zones
+    free = set()
+    for x in held:
+        x = x.parent
+        while x is not None and x not in free:
+            free.add(x)
+            x = x.parent
+    noise = set()
+    for x in nodes:
+        if x.parent in noise or x not in free and x.words - over:
+            noise.add(x)
+            x.mark = NOISE
 
 
 def parse(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -181,6 +238,7 @@ def parse(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag not in VOID:
             stack.append(node)
     block()
+    settle(blocks, nodes)
     return blocks, nodes
 
 
@@ -204,7 +262,8 @@ def main_text(page: str, low: set[int]) -> str:
 
 def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(host, node, kind, feature, total, weight, pages): how often each feature of each node
-    occurs on the host's pages. kind 0: the node itself, 1: child sequences, 2: texts.
+    occurs on the host's pages. kind 0: the node itself, its feature what its names say, 1: child
+    sequences, 2: texts.
     weight: the sum of c ln c over the counts c of single pages."""
 
     def run(batches):
@@ -213,8 +272,8 @@ def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks, nodes = parse(page or "")
                 seen = Counter()
-                for key in {x.key for x in nodes}:
-                    seen[(name, key, 0, 0)] = 1
+                for key, vague in {(x.key, x.vague) for x in nodes}:
+                    seen[(name, key, 0, VAGUE if vague else PLAIN)] = 1
                 for x in nodes:
                     if x.children and x.mark == PLAIN:
                         seen[(name, x.key, 1, sign(*x.children))] += 1
@@ -249,9 +308,11 @@ def importance(tree: DataFrame, damping: float = 0.9) -> DataFrame:
         F.sum(share_log).alias("shown_log"),
         F.avg(F.when(F.col("kind") == 2, entropy)).alias("entropy"),
         F.count(F.when(F.col("kind") == 2, 1)).alias("features"),
+        F.max(F.when(F.col("kind") == 0, F.col("feature"))).alias("said"),
     )
     by_pages = lambda e: F.when(F.col("m") > 1, F.least(F.lit(1.0), e / F.log("m")))
     presentation = F.coalesce(by_pages(F.log("shown") - F.col("shown_log") / F.col("shown")), F.when(F.col("m") == 1, 1.0), F.lit(0.0))
+    presentation = F.when(F.col("said") == VAGUE, 0.0).otherwise(presentation)
     content = F.coalesce(1 - by_pages(F.col("entropy")), F.lit(1.0))
     # The more a node holds, the less its own presentation says about it.
     own = F.pow(F.lit(damping), F.least(F.col("features"), F.lit(50)))

@@ -54,3 +54,19 @@ def test_raw_elements():
     assert mainhtml.main_text(nested, set()) == "a\nb"
     for tag in ("svg", "iframe", "math", "textarea", "select", "template"):
         assert mainhtml.main_text(f"<p>a</p><{tag}><p>rest of the page</p>", set()) == "a\nrest of the page"
+
+
+def test_names_do_not_drop_main_text():
+    for name in ("content-sidebar-wrap", "layout has-sidebar", "sidebar", "related"):
+        for zone in ("main", "article"):
+            page = f"<body><nav>menu</nav><div class='{name}'><{zone}><p>The story.</p></{zone}></div><div class=sidebar>more</div>"
+            assert mainhtml.main_text(page, set()) == "The story."
+    paragraphs = "".join(f"<div class='elementor-widget-container'><p>Part {i}.</p></div>" for i in range(3))
+    assert mainhtml.main_text(f"<article>{paragraphs}</article>", set()) == "Part 0.\nPart 1.\nPart 2."
+    paragraphs = paragraphs.replace("elementor-widget-container", "widget")
+    assert mainhtml.main_text(f"<article>{paragraphs}<div class=ad>buy</div></article>", set()) == "Part 0.\nPart 1.\nPart 2."
+    for name in ("related-work", "share-price", "skip", "register"):
+        page = f"<article><p>A long enough first part.</p><section id={name}><p>Words.</p></section></article>"
+        assert mainhtml.main_text(page, set()).endswith("\nWords.")
+    comments = "<article><p>In.</p></article><div class=comments><article class=comment-body><p>A reader.</p></article></div>"
+    assert mainhtml.main_text(comments.replace("In.", "The story itself."), set()) == "The story itself."
