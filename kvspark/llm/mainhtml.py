@@ -10,8 +10,11 @@ What the mark-up itself says sets the presentation importance: 1 inside ``articl
 and 0, for node and branch, where tag, role or class name tell navigation, adverts and the like.
 A name that holds such a word among others leaves the branch to its content importance. A name of
 such words alone, if they have no other sense, drops the branch, unless it holds the page's ``main`` or its only articles, or
-branches of this word hold most of the page's distinct text.
-A page with ``article`` elements outside of such branches (or else ``main``) prints these only.
+branches of this word hold most of the page's distinct text (adverts and consent never do; on a
+page with one article or ``main`` outside of such branches, the text inside counts).
+Articles and ``main`` are in the tree too; their text stays where low nodes hold most of it, as on
+copies of a page. A page whose ``article`` elements (or else those and ``main``) hold half or more
+of the text that the tree keeps prints these only.
 
 Cases: null HTML gives empty text, a null or odd URL belongs to the host ''; a page that is alone
 on its host has full content importance; unclosed and misnested tags
@@ -63,6 +66,8 @@ NOISE_WORDS = set(
     "comments commentlist reply replies respond disqus pagination pager toolbar widget widgets skip".split()
 )
 OUTER_NOISE_WORDS = set("header banner topbar search".split())
+#: These hold no main text, however long they are.
+SURE_WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr".split())
 #: Alone in a name inside of an article, these may as well tell its subject.
 SUBJECT_WORDS = set("skip register login related recommended recommendations share sharing social alert notice notices trending widget widgets subscription menu".split())
 #: Words that say nothing about what a branch holds.
@@ -152,14 +157,18 @@ def settle(blocks: list[tuple[Node, str]], nodes: list[Node]) -> None:
     above = {None: frozenset()}
     for x in nodes:  # parents come first
         above[x] = above.get(x.parent, above[None]) | x.words
+    # One article or main without such names around is the place of the main text; only what
+    # is inside counts then.
+    clean = [x for x in nodes if x.tag in ("article", "main") and x.mark != NOISE and not above[x]]
+    sure = any(x.tag == "main" for x in clean) or len(clean) == 1
     sizes, total, seen = Counter(), 0, set()
     for x, t in blocks:
-        if x.mark != NOISE and t not in seen:
+        if x.mark != NOISE and t not in seen and (x.zone or not sure):
             seen.add(t)
             total += len(t)
             for w in above.get(x, ()):
                 sizes[w] += len(t)
-    over = {w for w, c in sizes.items() if 2 * c > total}
+    over = {w for w, c in sizes.items() if 2 * c > total and w not in SURE_WORDS}
     zones = [x for x in nodes if x.tag in ("article", "main") and x.mark != NOISE and not x.words - over]
     held = [x for x in zones if x.tag == "main"]
     if not any(not above[x] - over for x in zones):
@@ -252,10 +261,15 @@ def host(url: bytes | None) -> str:
 def main_text(page: str, low: set[int]) -> str:
     """low: nodes of low importance on the page's host."""
     blocks, _ = parse(page)
-    kept = [(node, t) for node, t in blocks if node.mark == MAIN or node.mark == PLAIN and node.key not in low]
-    for zone in ("article", "main"):
-        inside = [t for node, t in kept if node.zone == zone]
-        if inside:
+    shown = [(node, t, node.key not in low) for node, t in blocks if node.mark in (MAIN, PLAIN)]
+    held = sum(len(t) for node, t, _ in shown if node.mark == MAIN)
+    if 2 * sum(len(t) for node, t, high in shown if node.mark == MAIN and high) < held:
+        shown = [(node, t, high or node.mark == MAIN) for node, t, high in shown]
+    kept = [(node, t) for node, t, high in shown if high]
+    total = sum(len(t) for _, t in kept)
+    for zones in (("article",), ("article", "main")):
+        inside = [t for node, t in kept if node.zone in zones]
+        if inside and 2 * sum(map(len, inside)) >= total:
             return "\n".join(inside)
     return "\n".join(t for _, t in kept)
 
@@ -272,13 +286,13 @@ def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks, nodes = parse(page or "")
                 seen = Counter()
-                for key, vague in {(x.key, x.vague) for x in nodes}:
-                    seen[(name, key, 0, VAGUE if vague else PLAIN)] = 1
+                for key, said in {(x.key, VAGUE if x.vague else x.mark) for x in nodes if x.mark in (PLAIN, MAIN)}:
+                    seen[(name, key, 0, said)] = 1
                 for x in nodes:
-                    if x.children and x.mark == PLAIN:
+                    if x.children and x.mark in (PLAIN, MAIN):
                         seen[(name, x.key, 1, sign(*x.children))] += 1
                 for node, t in blocks:
-                    if node.mark == PLAIN:
+                    if node.mark in (PLAIN, MAIN):
                         seen[(name, node.key, 2, sign(t))] += 1
                 for k, c in seen.items():
                     s = sums.setdefault(k, [0, 0.0, 0])
@@ -298,7 +312,7 @@ def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def importance(tree: DataFrame, damping: float = 0.9) -> DataFrame:
-    """(host, node, importance) of the nodes that the mark-up says nothing about."""
+    """(host, node, importance) of the nodes that are not noise."""
     m = F.max(F.when(F.col("kind") == 0, F.col("pages"))).alias("m")
     entropy = F.log("total") - F.col("weight") / F.col("total")  # of a feature over the pages
     share_log = F.when(F.col("kind") == 1, F.col("total") * F.log("total"))
@@ -312,7 +326,7 @@ def importance(tree: DataFrame, damping: float = 0.9) -> DataFrame:
     )
     by_pages = lambda e: F.when(F.col("m") > 1, F.least(F.lit(1.0), e / F.log("m")))
     presentation = F.coalesce(by_pages(F.log("shown") - F.col("shown_log") / F.col("shown")), F.when(F.col("m") == 1, 1.0), F.lit(0.0))
-    presentation = F.when(F.col("said") == VAGUE, 0.0).otherwise(presentation)
+    presentation = F.when(F.col("said") == VAGUE, 0.0).when(F.col("said") == MAIN, 1.0).otherwise(presentation)
     content = F.coalesce(1 - by_pages(F.col("entropy")), F.lit(1.0))
     # The more a node holds, the less its own presentation says about it.
     own = F.pow(F.lit(damping), F.least(F.col("features"), F.lit(50)))

@@ -70,3 +70,23 @@ def test_names_do_not_drop_main_text():
         assert mainhtml.main_text(page, set()).endswith("\nWords.")
     comments = "<article><p>In.</p></article><div class=comments><article class=comment-body><p>A reader.</p></article></div>"
     assert mainhtml.main_text(comments.replace("In.", "The story itself."), set()) == "The story itself."
+
+
+def test_tree_decides_in_articles_too(spark):
+    rows = []
+    for i in range(12):
+        body = "".join(f"<p>Story {i} part {k} of it</p>" for k in range(3))
+        rows.append((i, f"http://h.example/{i}", f"<article>{body}<div class=plea><p>Give to us</p></div></article>"))
+        cards = "".join(f"<article class=card><p>Card {k}</p></article>" for k in range(2))
+        rows.append((100 + i, f"http://t.example/{i}", f"<div class=text>{body}</div>{cards}"))
+        rows.append((200 + i, "http://copies.example/", "<article><p>One and the same text</p></article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in mainhtml.query(pages).collect()}
+    assert text[3] == "\n".join(f"Story 3 part {k} of it" for k in range(3))
+    assert text[103].startswith(text[3])
+    assert text[203] == "One and the same text"
+
+
+def test_short_article_beside_a_long_advert():
+    page = "<div class=ad>Buy this, and that, and much more.</div><article><h1>Few</h1><p>words.</p></article>"
+    assert mainhtml.main_text(page, set()) == "Few\nwords."
