@@ -320,21 +320,22 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42, text_col: str = "t
 
 
 def classes(rows: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
-    """(fp, ident) -> (fp, component_id): the least ident of all rows whose fp is reachable."""
+    """(fp, ident) -> (fp, component_id, root): the least ident of all rows whose fp is reachable,
+    and the print that names the component."""
     one = scratch.save(rows.groupBy("fp").agg(F.min("ident").alias("least")), "prints")
     found = links(one.select("fp"), scratch, radius)
     roots = components(found, scratch)
     named = one.join(roots, one.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, fp, component_id."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, n, text_col=text_col, keep=[id_col]), "rows")
-    named = classes(rows.select("fp", F.col(f"`{id_col}`").alias("ident")), scratch, radius)
+    named = classes(rows.select("fp", F.col(f"`{id_col}`").alias("ident")), scratch, radius).select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -351,8 +352,7 @@ def dedupe(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id",
     order = F.struct(F.col("ident").isNull(), F.col("ident"), F.col("rk"))
     full = rows.join(comp, "fp")
     # The component is named by its root print: component_id may be null for several components.
-    full = full.withColumn("cid", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))))
-    best = full.groupBy("cid").agg(F.min(order).alias("b")).select(F.col("b.rk").alias("rk"))
+    best = full.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.rk").alias("rk"))
     copies = rows.groupBy("rk").count()
     keep = scratch.save(best.distinct().join(copies, "rk"), "keep")
     gone = rows.select("rk").join(keep, "rk", "left_anti").distinct()

@@ -86,3 +86,13 @@ def test_index_and_second_deal(spark, tmp_path):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
     u, v = simhash.group_links(codes, 3)
     assert (np.bitwise_count(u ^ v) <= 64).all() and len(u) == len(codes) - len(set(comps))
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert prints[0] != prints[1] and (prints[0] ^ prints[1]).bit_count() <= 3
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, "p q r s")], "doc_id long, text string")
+    assert sorted(len(r.text) for r in simhash.dedupe(docs).collect())[0] == 7
+    assert simhash.dedupe(docs).count() == 2
