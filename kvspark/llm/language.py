@@ -6,11 +6,14 @@ numpy, by backpropagation through time. A text is cut into spans of equal length
 whole; the probabilities of all of its letter positions are averaged into the document's.
 
 The training sample is bounded: at most ``sample_rows`` labelled documents, spread evenly over the
-labels, at most ``sample_chars`` code points of each. Labels, sources and ids are no inputs.
+labels, each with its whole text. Labels, sources and ids are no inputs.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there
-is nothing to learn from; a null id counts as empty text when folds are dealt; repeated rows get
-equal predictions; texts of any length are read whole, in bounded batches.
+is nothing to learn from (``recognised`` then keeps all texts with a letter); a null label is not
+learned from; a null id counts as empty text when folds are dealt; repeated rows get equal
+predictions; of labels with equal probabilities (ties) the first in order is predicted; texts of
+any length are read whole, in batches of bounded bytes; an empty table gives no rows; a kept column
+with the name, in any case, of a new one gives way to it, and ``recognised`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -179,7 +182,7 @@ class Network:
         return total / np.maximum(count, 1)[:, None]
 
 
-def sample(docs: DataFrame, sample_rows: int, sample_chars: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def sample(docs: DataFrame, sample_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """At most sample_rows labelled documents, those with the least hashes of each label. Only a
     share of a label's rows, by hash, takes part, so that about twice the sample is ranked at most."""
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
@@ -192,7 +195,7 @@ def sample(docs: DataFrame, sample_rows: int, sample_chars: int, id_col: str, te
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     ranked = slim.withColumn("rank", rank).where(F.col("rank") <= sample_rows)
     chosen = ranked.orderBy("rank", "mark").limit(sample_rows).select("lang", "mark").distinct()
-    part = docs.select(lang.alias("lang"), mark.alias("mark"), F.substring(text, 1, sample_chars).alias("text"))
+    part = docs.select(lang.alias("lang"), mark.alias("mark"), text.alias("text"))
     rows = part.join(F.broadcast(chosen), ["lang", "mark"]).where("text is not null")
     return rows.orderBy("mark", "text").limit(sample_rows).select("lang", "text")
 
@@ -200,7 +203,6 @@ def sample(docs: DataFrame, sample_rows: int, sample_chars: int, id_col: str, te
 def train(
     docs: DataFrame,
     sample_rows: int = 1200,
-    sample_chars: int = 1024,
     steps: int = 260,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -213,7 +215,7 @@ def train(
         rows = [(r["lang"], r["text"].encode()) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, steps))], pa.binary())], names=["net"])
 
-    rows = sample(docs, sample_rows, sample_chars, id_col, text_col, lang_col)
+    rows = sample(docs, sample_rows, id_col, text_col, lang_col)
     made = rows.coalesce(1).mapInArrow(learn, "net binary").head()
     return pickle.loads(made.net) if made else None  # no partition, no task
 
@@ -265,11 +267,17 @@ def identify(docs: DataFrame, keep=None, **options) -> DataFrame:
 
 def recognised(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is recognised: not ``und``, with a score of ``least`` or
-    more; with their own columns."""
+    more; with their own columns. Where no document is labelled, no language can be told from
+    another, and only the texts without a letter go."""
     named = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = f"c{docs.columns.index('text')}"
     net = train(docs.where(fold() != 0))
-    found = predict(named, net, text_col=f"c{docs.columns.index('text')}")
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    if net is None:
+        make = lambda: lambda texts: [pa.array([has_letter(t) for t in texts], pa.bool_())]
+        found = map_texts(named, text, [T.StructField("lettered", T.BooleanType())], make).where("lettered")
+    else:
+        found = predict(named, net, text_col=text)
+        found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kvspark.llm import language
 
@@ -19,6 +20,14 @@ def test_query_on_held_out(spark):
     assert language.recognised(docs).count() > 0.98 * len(rows)
 
 
+def test_training_reads_whole_texts(spark):
+    rows = [(i, "zz " * 3000 + ("le chat noir " if i % 2 else "the black cat ") * 40, "fr" if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.sample(docs, 50, "doc_id", "text", "lang").selectExpr("min(length(text)) n").head().n > 9400
+    got = language.predict(docs.limit(0).unionByName(spark.createDataFrame([(1, "le chat noir", None), (2, "the black cat", None)], docs.schema)), language.train(docs, steps=120)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "fr", 2: "en"}
+
+
 def test_gradient_by_differences():
     rng = np.random.default_rng(1)
     net = language.Network(["a", "b", "c"], hidden=3)
@@ -54,4 +63,6 @@ def test_cases(spark):
     kept = language.recognised(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {90, 91, 92}
+    unlabelled = docs.drop("lang").withColumn("lang", F.lit(None).cast("string"))
+    assert language.recognised(unlabelled).count() == kept.count()
     assert language.Network(["x"]).positions("ab é".encode()) == ["x"] * 5
