@@ -2,16 +2,20 @@
 
 A fingerprint bit is set if it is set in over half of the hashes of the text's word shingles.
 Fingerprints link at a few differing bits. Distinct fingerprints are dealt into groups that agree
-in some blocks of bits, such that every pair within the radius meets in one group at least. A
-group is sorted by Gray rank, which puts fingerprints with long common bit patterns side by side,
-and indexed: leaves of neighbours, and upper nodes that hold the bits all of their members share
-(below the root only those their parent does not have). A search adds up the differences on the
-way down and leaves a node once they exceed the radius, or once all of its members are known to be
-in the component of the sought one. Groups return spanning links, never all pairs.
+in some blocks of bits, such that every pair within the radius meets in one group at least. The
+groups of a task, one after the other and each sorted by Gray rank, which puts fingerprints with
+long common bit patterns side by side, are indexed: single codes at the bottom, and upper nodes
+that hold the bits all of their members share (below the root only those their parent does not
+have). A search adds up the differences on the way down and leaves a node once they exceed the
+radius, once it holds no member of the group, or once all of its members are known to be in the
+component of the sought one. An index returns spanning links of its components, never all pairs.
 
 Cases: null and empty texts, and texts without words, have fingerprint zero and link like any
-other; repeated rows and copies are one fingerprint; a null id is never a component's id unless
-all ids of the component are null; an empty table gives no rows.
+other; repeated rows and copies are one fingerprint; a text of any length is read whole; a bit set
+in just half of the hashes (a tie) is 0; a null id is never a component's id unless all ids of the
+component are null; of a component's rows with the least id (ties) ``dedupe`` keeps that with the
+least content hash, of identical rows one; an empty table gives no rows; ``near_duplicates``
+returns its own three columns whatever others there are, and ``dedupe`` keeps all of them.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 from .common import Scratch, map_texts, small_batches
 from .components import components
 
-LEAF, FAN = 16, 8
+FAN = 8
 #: Chunk of hashes whose bits are counted at once.
 _CHUNK = 1 << 14
 
@@ -67,6 +71,13 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _ragged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one after the other, and where each begins."""
+    sizes = ends - begins
+    cuts = np.cumsum(sizes) - sizes
+    return np.repeat(begins - cuts, sizes) + np.arange(sizes.sum()), cuts
+
+
 class _Forest:
     """Union-find over 0..n-1 with all labels kept flat."""
 
@@ -96,14 +107,21 @@ class _Forest:
 
 
 class GrayIndex:
-    """Index of distinct fingerprints, for links within radius."""
+    """Index of the fingerprints of many groups, for links within radius inside of each group.
+
+    Groups lie one after the other, each in Gray order, under one tree. A node knows which groups
+    it spans, so a search goes down into its own group only."""
 
-    def __init__(self, codes: np.ndarray, radius: int):
-        self.codes, self.radius = codes[np.argsort(gray_rank(codes))], radius
+    def __init__(self, codes: np.ndarray, radius: int, groups: np.ndarray | None = None):
+        groups = np.zeros(len(codes), np.int64) if groups is None else groups
+        order = np.lexsort((gray_rank(codes), groups))
+        self.codes, self.groups, self.radius = codes[order], groups[order], radius
+        #: Inner nodes left for their differences, and nodes left as their members are known.
+        self.far, self.known = 0, 0
         n = len(codes)
-        #: Levels from the leaves up: (first member of each node and n, bits that all members share beyond the parent's, their pattern, number of bits not shared).
+        #: Levels from the single codes up: (first member of each node and n, bits that all members share beyond the parent's, their pattern, number of bits not shared).
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        starts = np.arange(0, n, LEAF)
+        starts = np.arange(n)
         every = np.bitwise_and.reduceat(self.codes, starts)
         some = np.bitwise_or.reduceat(self.codes, starts)
         made = []
@@ -123,28 +141,33 @@ class GrayIndex:
                 own = shared
             self.levels.append((s, own, pattern & own, free))
 
-    def forest(self, chunk: int = 256) -> np.ndarray:
-        """The component label of each of self.codes."""
-        codes, radius, n = self.codes, self.radius, len(self.codes)
-        trees = _Forest(n)
+    def forest(self, chunk: int | None = None) -> np.ndarray:
+        """The component label of each of self.codes. chunk: codes that search together."""
+        codes, groups, radius, n = self.codes, self.groups, self.radius, len(self.codes)
+        trees, chunk = _Forest(n), chunk or max(2048, n // 32)
         for begin in range(0, n, chunk):
-            asked = np.arange(begin, min(n, begin + chunk))
             # Members from the chunk on suffice: earlier ones have asked for these already.
-            q, node, acc = asked, np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+            q = np.arange(begin, min(n, begin + chunk))
+            node, acc = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
             for k in range(len(self.levels) - 1, -1, -1):
                 starts, own, pattern, free = self.levels[k]
                 acc = acc + np.bitwise_count((codes[q] ^ pattern[node]) & own[node])
-                live = (acc <= radius) & (starts[node + 1] > begin)
-                q, node, acc = q[live], node[live], acc[live]
-                lo = np.minimum.reduceat(trees.label, starts[:-1])
-                hi = np.maximum.reduceat(trees.label, starts[:-1])
-                known = (lo[node] == hi[node]) & (lo[node] == trees.label[q])
+                near = acc <= radius
+                self.far += (len(near) - int(near.sum())) if k else 0
+                near &= (groups[starts[node]] <= groups[q]) & (groups[starts[node + 1] - 1] >= groups[q]) & (starts[node + 1] > begin)
+                q, node, acc = q[near], node[near], acc[near]
+                if not len(q):
+                    break
+                touched, at = np.unique(node, return_inverse=True)
+                members, cuts = _ragged(starts[touched], starts[touched + 1])
+                least, most = (f.reduceat(trees.label[members], cuts)[at] for f in (np.minimum, np.maximum))
+                known = (least == most) & (least == trees.label[q])
+                self.known += int(known.sum())
                 q, node, acc = q[~known], node[~known], acc[~known]
                 whole = acc + free[node] <= radius  # all members are near, and near each other
                 if whole.any():
                     w = np.unique(node[whole])
-                    members = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in w])
-                    trees.link(members, np.repeat(starts[w], starts[w + 1] - starts[w]))
+                    trees.link(_ragged(starts[w], starts[w + 1])[0], np.repeat(starts[w], starts[w + 1] - starts[w]))
                     trees.link(q[whole], starts[node[whole]])
                     q, node, acc = q[~whole], node[~whole], acc[~whole]
                 if k:
@@ -152,22 +175,13 @@ class GrayIndex:
                     q, acc = np.repeat(q, FAN), np.repeat(acc, FAN)
                     node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                     q, node, acc = q[node < below], node[node < below], acc[node < below]
-                else:
-                    m = (starts[node][:, None] + np.arange(LEAF)).ravel()
-                    q = np.repeat(q, LEAF)
-                    q, m = q[m < n], m[m < n]
-                    near = np.bitwise_count(codes[q] ^ codes[m]) <= radius
-                    trees.link(q[near], m[near])
         return trees.label
 
-
-def group_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of one group of distinct codes."""
-    index = GrayIndex(codes, radius)
-    label = index.forest()
-    first = index.codes[label]
-    linked = first != index.codes
-    return index.codes[linked], first[linked]
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning links of the components."""
+        first = self.codes[self.forest()]
+        linked = first != self.codes
+        return self.codes[linked], first[linked]
 
 
 def block_masks(bits: list[int], blocks: int, agree: int) -> list[list[int]]:
@@ -191,68 +205,59 @@ def _pairs_schema() -> T.StructType:
     return T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _link_sorted(radius: int):
-    """Partitions sorted by (part, key) -> spanning links of each group, as they stream by."""
+#: Codes that a task's index takes, unless one group alone has more.
+_INDEXED = 1 << 16
 
-    def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    def small_groups(codes: np.ndarray, group: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-        """Groups of one leaf each: direct comparison, all groups at a time."""
-        for d in range(1, longest):
-            at = np.flatnonzero(group[:-d] == group[d:])
-            at = at[np.bitwise_count(codes[at] ^ codes[at + d]) <= radius]
-            if len(at):
-                yield out(codes[at], codes[at + d])
+def _link_sorted(radius: int, pruned=None):
+    """Partitions sorted by (part, key) -> spanning links inside of the groups, as they stream by.
+    pruned: an accumulator for the number of nodes that searches left."""
+
+    def index(parts: np.ndarray, keys: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = (keys[1:] == keys[:-1]) & (parts[1:] == parts[:-1])
+        groups = np.concatenate(([0], np.cumsum(~same)))
+        some = np.bincount(groups)[groups] > 1  # a group of one has no links
+        if not some.any():
+            return
+        tree = GrayIndex(codes[some], radius, groups[some])
+        u, v = tree.links()
+        if pruned is not None:
+            pruned.add(tree.far + tree.known)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush(parts: np.ndarray, keys: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(codes) < 2:
-                return
-            edge = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
-            starts = np.concatenate(([0], edge))
-            sizes = np.diff(np.append(starts, len(codes)))
-            little = np.repeat((sizes > 1) & (sizes <= LEAF), sizes)
-            ids = np.repeat(np.arange(len(sizes)), sizes)
-            if little.any():
-                yield from small_groups(codes[little], ids[little], int(sizes[sizes <= LEAF].max()))
-            for g in np.flatnonzero(sizes > LEAF):
-                u, v = group_links(codes[starts[g] : starts[g] + sizes[g]], radius)
-                if len(u):
-                    yield out(u, v)
-
         for batch in batches:
             parts, keys, codes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(codes):
                 continue
-            codes = codes.view(np.uint64)
-            # All before the last group is complete.
-            cut = int(np.argmax((keys == keys[-1]) & (parts == parts[-1])))
-            if held and (held[-1][1][-1] != keys[0] or held[-1][0][-1] != parts[0] or cut):
-                held.append((parts[:cut], keys[:cut], codes[:cut]))
-                yield from flush(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            elif not held:
-                yield from flush(parts[:cut], keys[:cut], codes[:cut])
-            held.append((parts[cut:], keys[cut:], codes[cut:]))
+            held.append((parts, keys, codes.view(np.uint64)))
+            if sum(len(x[0]) for x in held) < _INDEXED:
+                continue
+            parts, keys, codes = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.argmax((keys == keys[-1]) & (parts == parts[-1])))  # all before the last group is complete
+            if cut:
+                yield from index(parts[:cut], keys[:cut], codes[:cut])
+            held = [(parts[cut:], keys[cut:], codes[cut:])]
         if held:
-            yield from flush(*(np.concatenate(x) for x in zip(*held)))
+            yield from index(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def links(prints: DataFrame, scratch: Scratch, radius: int = 3, large: int = 1 << 17) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, radius: int = 3, large: int = 1 << 17, pruned=None) -> DataFrame:
     """(fp) distinct signed 64-bit codes -> (u, v) spanning links of all pairs within radius.
 
-    radius + 2 blocks, of which two agree for every pair within the radius: groups of about 2**-25
-    of evenly spread codes. Groups of over ``large`` codes are dealt again by blocks of their
-    remaining bits, three of radius + 3; such a group agrees in so many bits that it can't hold
-    more than some 2**20 distinct codes, 8 MB.
+    radius + 1 blocks, of which one agrees for every pair within the radius: groups of about 2**-16
+    of evenly spread codes. Where these would be large, radius + 2 blocks, of which two agree:
+    more groups a code, of about 2**-25. Either finds all links. Groups of over ``large`` codes
+    are dealt again by blocks of their remaining bits, three of radius + 3; such a group agrees in
+    so many bits that it can't hold more than some 2**24 distinct codes, 128 MB.
     """
     spark = prints.sparkSession
-    masks = block_masks(list(range(64)), radius + 2, 2)
+    agree = 1 if prints.count() >> (64 // (radius + 1)) < large >> 5 else 2
+    masks = block_masks(list(range(64)), radius + agree, agree)
     keyed = prints.select(
         "fp",
         F.posexplode(F.array(*[_native_gather(F.col("fp"), m) for m in masks])).alias("part", "key"),
@@ -284,7 +289,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 3, large: int = 1 <
         cold = keyed.join(big, ["part", "key"], "left_anti").select("part", "key", "fp")
         dealt = cold.union(hot)
     small_batches(spark, 1 << 16)  # of 24 bytes
-    found = dealt.repartition(F.col("part"), F.col("key")).sortWithinPartitions("part", "key").mapInArrow(_link_sorted(radius), _pairs_schema())
+    found = dealt.repartition(F.col("part"), F.col("key")).sortWithinPartitions("part", "key").mapInArrow(_link_sorted(radius, pruned), _pairs_schema())
     found = scratch.save(found, "found")
     small_batches(spark)
     return found
@@ -319,11 +324,11 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42, text_col: str = "t
     return map_texts(docs, text_col, [T.StructField("fp", T.LongType())], make, keep)
 
 
-def classes(rows: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
+def classes(rows: DataFrame, scratch: Scratch, radius: int = 3, pruned=None) -> DataFrame:
     """(fp, ident) -> (fp, component_id, root): the least ident of all rows whose fp is reachable,
     and the print that names the component."""
     one = scratch.save(rows.groupBy("fp").agg(F.min("ident").alias("least")), "prints")
-    found = links(one.select("fp"), scratch, radius)
+    found = links(one.select("fp"), scratch, radius, pruned=pruned)
     roots = components(found, scratch)
     named = one.join(roots, one.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
@@ -331,11 +336,12 @@ def classes(rows: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
     return named.join(least, "root").select("fp", "component_id", "root")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, fp, component_id."""
+def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", pruned=None) -> DataFrame:
+    """One row a document: id, fp, component_id. pruned: an accumulator for the number of index
+    nodes that searches left."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, n, text_col=text_col, keep=[id_col]), "rows")
-    named = classes(rows.select("fp", F.col(f"`{id_col}`").alias("ident")), scratch, radius).select("fp", "component_id")
+    named = classes(rows.select("fp", F.col(f"`{id_col}`").alias("ident")), scratch, radius, pruned).select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 

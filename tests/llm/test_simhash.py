@@ -76,7 +76,7 @@ def test_index_and_second_deal(spark, tmp_path):
     from kvspark.llm.common import Scratch
     from kvspark.llm.components import components
 
-    for large in (1 << 17, 5):
+    for large in (1 << 17, 5, 40):  # 40: wide groups, of which the largest are dealt again
         scratch = Scratch(spark, "t")
         root = {r.node: r.root for r in components(simhash.links(prints, scratch, large=large), scratch).collect()}
         groups, want = {}, {}
@@ -84,10 +84,36 @@ def test_index_and_second_deal(spark, tmp_path):
             groups.setdefault(root.get(s, s), set()).add(s)
             want.setdefault(c, set()).add(s)
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
-    u, v = simhash.group_links(codes, 3)
+    u, v = simhash.GrayIndex(codes, 3).links()
     assert (np.bitwise_count(u ^ v) <= 64).all() and len(u) == len(codes) - len(set(comps))
 
 
+def test_query_goes_through_the_index(spark):
+    """Over a larger table: the index is built, leaves nodes, and the links are those of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pruned = spark.sparkContext.accumulator(0)
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs, pruned=pruned).collect()}
+    assert pruned.value > 10_000
+    idents = sorted(got)
+    codes = [got[i][0] % (1 << 64) for i in idents]
+    assert brute_components(codes, idents) == [got[i][1] for i in idents]
+
+
+def test_index_of_many_groups():
+    rng = np.random.default_rng(5)
+    codes = np.concatenate([np.unique(rng.integers(0, 1 << 6, 20, dtype=np.uint64)) << np.uint64(s) for s in rng.integers(0, 50, 300)])
+    groups = rng.integers(0, 90, len(codes))
+    _, at = np.unique(np.stack([groups.astype(np.uint64), codes]), axis=1, return_index=True)
+    codes, groups = codes[at], groups[at]
+    tree = simhash.GrayIndex(codes, 2, groups)
+    label = tree.forest(chunk=64)
+    for g in range(90):
+        mine = tree.groups == g
+        comps = brute_components(tree.codes[mine], list(np.flatnonzero(mine)), 2)
+        assert label[mine].tolist() == comps
+    assert tree.far and tree.known
+
+
 def test_near_copies_without_ids(spark):
     words = [f"w{i}" for i in range(3000)]
     texts = [" ".join(words), " ".join([*words[:-1], "other"])]
