@@ -10,8 +10,9 @@ reach the table of results count, so repeated tasks do no harm.
 
 Cases: null payloads are empty, null URLs and ids are left out of the header and read as null;
 control characters in URLs are percent-encoded; of records with equal payloads those with the
-smallest id are responses, and all if every id is null; repeated rows of that id are all
-responses; an empty table gives no archives and no rows.
+smallest id are responses, and all if every id is null; repeated rows of that id (ties) are all
+responses; payloads of any length are written whole; an empty table gives no archives and no rows;
+other columns of the pages, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch
 
 _CHUNK = 1 << 20
+#: Of a digest and an id in a broadcast table, with what holds them.
+_COPY_BYTES = 128
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -231,13 +234,19 @@ def read(archives: DataFrame, folder: str, rows: int = 200) -> DataFrame:
     return archives.mapInArrow(run, schema)
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html) -> with original, the smallest id of equal payloads, and revisit."""
+def mark_revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, broadcast_mb: int = 64) -> DataFrame:
+    """(page_id, url, html) -> with original, the smallest id of equal payloads, and revisit.
+
+    Digests and ids alone are grouped. Payloads that occur more than once are few next to the pages;
+    their table is sent to every task, so that html stays where it is read. Beyond broadcast_mb,
+    the pages meet it by digest."""
     html = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit("").cast("binary"))
-    pages = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("sum"))
+    pages = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha2(html, 256)).alias("sum"))
     groups = pages.where(F.octet_length("html") >= least_bytes).groupBy("sum")
-    # Only payloads that occur more than once meet their pages again: html moves for these at most.
     copies = groups.agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("sum", "original")
+    copies = scratch.save(copies, "copies")
+    if copies.count() * _COPY_BYTES <= broadcast_mb << 20:
+        copies = F.broadcast(copies)
     joined = pages.join(copies, "sum", "left")
     revisit = F.coalesce(F.col("page_id").isNull() | (F.col("page_id") > F.col("original")), F.lit(False)) & F.col("original").isNotNull()
     return joined.select("page_id", "url", "html", "original", revisit.alias("revisit"))
@@ -249,9 +258,8 @@ def archive(
     """Write all pages and normalise the archives: the table of archives and their folder."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    small_batches(spark, 200)
     mono, members = scratch.path("mono"), scratch.path("members")
-    written = scratch.save(write_archives(mark_revisits(pages, least_bytes), mono, level, rotate_mb, date), "written")
+    written = scratch.save(write_archives(mark_revisits(pages, scratch, least_bytes), mono, level, rotate_mb, date), "written")
     n = written.count()
     spread = written.repartition(max(1, n), "archive") if n else written
     done = scratch.save(normalise(spread, mono, members, level), "done")

@@ -59,6 +59,16 @@ def test_cases(spark):
     assert {r.url for r in read if r.page_id == 3} == {"http://a/%0D%0AX:%20y"}
 
 
+def test_html_stays_where_it_is_read(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    marked = warc.mark_revisits(pages, Scratch(spark, "t"))
+    plan = marked._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    by_digest = warc.mark_revisits(pages, Scratch(spark, "t"), broadcast_mb=0)
+    key = lambda r: (r.page_id, r.original, r.revisit)
+    assert sorted(map(key, marked.collect()), key=repr) == sorted(map(key, by_digest.collect()), key=repr)
+
+
 def test_rotation(spark):
     pages = spark.range(40).selectExpr("id page_id", "concat('http://h/', id) url", "repeat(cast(id as string), 60000) html")
     done, folder = warc.archive(pages.coalesce(1), rotate_mb=1)
