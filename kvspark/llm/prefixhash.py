@@ -9,8 +9,9 @@ points (bottom-k sketch). The likeness of two fingerprints estimates the share o
 among all spans of both (Jaccard); it is exact for texts with few spans, and 1 for equal texts.
 
 Cases: null text is empty; two empty texts are alike (1), an empty and another are not (0); texts
-shorter than a span are one span; null ids come first in order; rows of one id follow each other by
-text; a table of one row is its own next; an empty table gives no rows.
+shorter than a span are one span, of any length are read whole; null ids come first in order; rows
+of one id (ties) and repeated rows follow each other by the bytes of their texts, nulls first; a table of
+one row is its own next; an empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 1_791_791_791)
 SPAN = 16
 KEPT = 64
+#: Bytes of a text that tell its range, among rows of one id.
+HEAD = 64
 _VALUE_BITS = 40
 _U = np.uint64
 _P = _U(PRIME)
@@ -203,7 +206,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Only the first and the last text of each partition go on, to meet across partitions."""
     scratch = Scratch(docs.sparkSession, "prefixhash")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    ordered = texts.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    # Ranges end between heads of texts, whose order is that of the texts, so rows of one id that
+    # lie in several partitions are in order too.
+    ordered = texts.repartitionByRange("id", F.substring("text", 1, HEAD)).sortWithinPartitions("id", "text")
 
     def run(batches):
         """place 0: a finished row; 1: the partition's last document, 2: its first one."""
@@ -230,7 +235,6 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for place, (ident, text) in ((2, first), (1, (last.ident, last_text))):
                 yield batch_of([(ident, *[None] * 7)], place, text or b"")
 
-    small_batches(docs.sparkSession, 200)
     seen = scratch.save(ordered.mapInArrow(run, _SCHEMA + ", part long, place int, text binary"), "seen", compression="zstd")
     firsts = seen.where("place = 2").select("part", F.col("text").alias("next_text"))
     parts = Window.orderBy("part")  # a number a partition

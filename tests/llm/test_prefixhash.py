@@ -70,6 +70,11 @@ def test_cases(spark):
     for parts in ("1", "3", "8"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         close([tuple(r) for r in ph.query(docs).collect()], brute(order))
+    tied = [(1, f"{'same head ' * (k % 2 * 9)}{k * 7919 % 97} text") for k in range(60)] + [(0, "a"), (2, None)]
+    docs2 = spark.createDataFrame([(i, t, 1.0) for i, t in tied], "doc_id long, text string, near_next double")
+    for parts in ("1", "5", "16"):  # one id over several partitions
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        close([tuple(r) for r in ph.query(docs2).collect()], brute(sorted(tied, key=lambda r: (r[0], r[1] or ""))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     one = ph.query(docs.where("doc_id = 7")).collect()
     assert [tuple(r) for r in one] == brute([(7, "é" * 9)])
