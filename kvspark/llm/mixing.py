@@ -5,18 +5,22 @@ leading hex digits of the key cut the order into ranges, so prefix sums of token
 computed range by range and shifted by the sums of the ranges before. A source takes whole
 epochs, then cuts its order at the exact rest of its budget.
 
-Cases: null text has size 0; null source is a source of its own, last in order; repeated rows
-count as often as they occur (equal rows share a key, and which of them is cut does not change
-the multiset of results); an empty table gives no rows; sources of size 0 get target 0.
+Cases: null and empty texts have size 0; a null id counts as empty text in the key; null source is a
+source of its own, last in order; repeated rows count as often as they occur (equal rows share a
+key, a tie, and which of them is cut does not change the multiset of results); texts of any length
+are read whole; an empty table gives no rows; sources of size 0 get target 0; other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import positions
 from .common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,32 +28,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS, LEAST_DIGITS = 100_000, 3
 
 
-def targets(totals: DataFrame, weights: Sequence[int], share: float, max_epochs: int) -> DataFrame:
-    """(skey, source, source_size) -> the same with weight and target, one row a source.
+def targets(totals: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, max_epochs: int) -> DataFrame:
+    """(skey, source, source_size) -> (skey, source_size, target), one row a source.
 
-    With sources sorted by cap/weight, source i is full exactly if the level reached with the
-    sources before it at their caps exceeds its own; the water level is the greatest of these.
+    The level starts as if no source were full. The sources below it are full at their caps, what
+    they leave raises the level of the others, and so on until no more are full: a sum over the
+    sources each time, however many they are.
     """
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    filling = Window.orderBy((F.col("cap").cast("double") / F.col("weight")), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    return (
-        totals.withColumn("weight", F.element_at(cycle, (F.row_number().over(by_source) - 1) % len(weights) + 1).cast("long"))
-        .withColumn("cap", F.col("source_size") * max_epochs)
-        .withColumn("pool", F.floor(F.sum("source_size").over(everything) * F.lit(share)).cast("long"))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn(
-            "level",
-            (F.col("pool") - F.col("cap_before")).cast("double") / (F.col("all_weight") - F.col("weight_before")).cast("double"),
-        )
-        .withColumn("level", F.max("level").over(everything))
-        .withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-        .select("skey", "source_size", "target")
+    placed = positions(totals.select("skey", "source_size", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")), "none", "name")
+    caps = placed.select(
+        "skey",
+        "source_size",
+        F.element_at(cycle, ((F.col("pos") - 1) % len(weights) + 1).cast("int")).cast("long").alias("weight"),
+        (F.col("source_size") * max_epochs).alias("cap"),
     )
+    caps = scratch.save(caps, "caps")
+    pool = int((caps.agg(F.floor(F.sum("source_size") * F.lit(share))).head()[0]) or 0)
+    level, full = 0.0, -1
+    while True:
+        below = F.col("cap").cast("double") / F.col("weight") < level
+        n, held, rest = caps.agg(F.count(F.when(below, 1)), F.coalesce(F.sum(F.when(below, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~below, F.col("weight"))), F.lit(0))).head()
+        if n == full or not rest:
+            break
+        level, full = float(pool - held) / float(rest), n
+    level = level if rest else math.inf
+    return caps.select("skey", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def spread(sized: DataFrame, sizes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Columns that cut each source's order into pieces for one task each. Those are the ranges,
+    unless equal rows overfill one: their place among themselves is free, so each task that read
+    some of them is a piece of its own, between the pieces before and after their key."""
+    over = sizes.where(F.col("rows") > 2 * RANGE_ROWS).select("range").distinct()
+    keys = sized.join(F.broadcast(over), "range", "left_semi").groupBy("skey", "range", "mix_key").count().where(F.col("count") > RANGE_ROWS)
+    # A key here stands for RANGE_ROWS rows at least.
+    hot = keys.groupBy("range").agg(F.sort_array(F.collect_set("mix_key")).alias("hot"))
+    if over.isEmpty() or hot.isEmpty():
+        return sized, ["range"]
+    last = F.element_at(F.filter("hot", lambda k: k <= F.col("mix_key")), -1)
+    sized = sized.join(F.broadcast(hot), "range", "left").withColumn("after", F.when(F.element_at("hot", 1) <= F.col("mix_key"), last).otherwise(""))
+    sized = sized.withColumn("after", F.coalesce("after", F.lit(""))).withColumn("own", F.col("after") != F.col("mix_key"))
+    return sized.withColumn("piece", F.when(F.col("own"), 0).otherwise(F.col("slot"))).drop("hot"), ["range", "after", "own", "piece"]
 
 
 def mix(
@@ -79,6 +99,7 @@ def mix(
         F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("skey"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), text)).alias("mix_key"),
+        F.spark_partition_id().alias("slot"),
     )
     sized = scratch.save(sized, "sized")
     if range_digits is None:
@@ -86,24 +107,26 @@ def mix(
         while n > RANGE_ROWS * 16**range_digits:
             range_digits += 1
     sized = sized.withColumn("range", F.substring("mix_key", 1, range_digits))
-    # Both groupings combine on the map side, so a hot source adds a row a task and range.
-    ranges = sized.groupBy("skey", "source", "range").agg(F.sum("size").alias("range_size"))
-    totals = ranges.groupBy("skey", "source").agg(F.sum("range_size").alias("source_size"))
-    aims = targets(totals, weights, share, max_epochs)
-    earlier = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # All groupings combine on the map side, so a hot source adds a row a task and range.
+    sizes = scratch.save(sized.groupBy("skey", "source", "range").agg(F.sum("size").alias("range_size"), F.count("*").alias("rows")), "ranges")
+    totals = sizes.groupBy("skey", "source").agg(F.sum("range_size").alias("source_size"))
+    aims = targets(totals, scratch, weights, share, max_epochs)
+    sized, place = spread(sized, sizes)
+    ranges = sized.groupBy("skey", *place).agg(F.sum("size").alias("range_size")) if len(place) > 1 else sizes
+    earlier = Window.partitionBy("skey").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         ranges.withColumn("shift", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
         .join(aims, "skey")
         .withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
-        .select("skey", "range", "shift", "source_size", "target", "epochs", "rest")
+        .select("skey", *place, "shift", "source_size", "target", "epochs", "rest")
     )
-    inside = Window.partitionBy("skey", "range").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", *place).orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("shift") - F.col("inside")))
     return (
         sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(shifts, ["skey", "range"])
+        .join(shifts, ["skey", *place])
         .select(
             F.col("id").alias(id_col),
             F.col("source").alias(source_col),

@@ -41,6 +41,10 @@ def test_cases(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAST_DIGITS", 0)
     assert sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, got))  # so do other ranges
     assert sorted(map(key, mixing.mix(docs, range_digits=0).collect())) == sorted(map(key, got))
+    counts = mixing.mix(docs, range_digits=0)
+    pieces = counts._jdf.queryExecution().toString()
+    assert "piece" in pieces  # equal rows are dealt to several tasks
+    monkeypatch.undo()
     assert mixing.query(docs.limit(0)).collect() == []
     assert [(r.target, r.taken) for r in mixing.mix(docs.where("doc_id = 900")).collect()] == [(0.0, 0)]
 
