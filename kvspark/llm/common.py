@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch. Texts may be long, so a batch stays far below Spark's 10,000 rows.
-BATCH_ROWS = 500
+#: Rows and bytes of text that a function of texts gets at once, unless one text alone is longer.
+SLICE_ROWS, SLICE_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,21 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, as in
-    tests in one JVM, a temporary folder takes its place."""
+    """The folder all executors share (spark.checkpoint.dir). Only where it is unset and there are
+    no other executors, as in tests, a temporary folder takes its place."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kvspark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_ROOTS: list[str] = []
+
+
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    conf = SparkContext._active_spark_context._jsc.hadoopConfiguration() if SparkContext._active_spark_context else jvm.org.apache.hadoop.conf.Configuration()
+    at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Remove all scratch tables of this process. Results that were not read or written yet need
+    them, so that they stay until the process ends, unless this is called before."""
+    while _ROOTS:
+        root, process = _ROOTS.pop(), getattr(SparkContext._gateway, "proc", None)
+        if process is not None and process.poll() is None:
+            _delete(root)
+
+
 class Scratch:
     """Tables and files of one operator run, below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,13 +72,21 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.path(name))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded rows and bytes of this column, whatever the session's settings
+    made it. They share its memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (held + n > SLICE_BYTES or i - begin >= SLICE_ROWS):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -66,15 +101,13 @@ def map_texts(
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]],
     keep: Iterable[str] | None = None,
-    rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Append columns computed from the text, batch by batch. ``make`` runs once in each task
+    """Append columns computed from the text, slice by slice. ``make`` runs once in each task
     and returns the function from texts (None: null) to the new columns.
 
     keep: columns passed through (all by default). A kept column whose name, in any case, is
     that of a new one gives way to it.
     """
-    small_batches(df.sparkSession, rows)
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in kept] + list(fields))
@@ -83,7 +116,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(kept))):
             got = function(as_bytes(batch.column(len(kept))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(kept))), *got],

@@ -10,9 +10,10 @@ The filter is never held as a whole: documents are dealt to units, and the disti
 unit meet the blocks in the shards. Single tokens have exact counts: those of at most ``frequent``
 tokens are broadcast, the others are looked up in the shards too.
 
-Cases: null text is empty, that is one end token; a null id counts as empty text when folds are
-dealt; repeated rows count and score as often as they occur; without training documents all counts
-are 0; an empty table gives no rows.
+Cases: null and empty texts are one end token; a null id counts as empty text when folds are dealt;
+repeated rows count and score as often as they occur; counts on the edge of two levels (ties) are
+of the upper one; texts of any length are read whole; without training documents all counts are 0;
+an empty table gives no rows; a kept column with the name, in any case, of a new one gives way.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, as_bytes, small_batches
+from .common import Scratch, as_bytes, slices
 
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -81,6 +82,18 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
+def runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of the shards that occur, in order."""
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
+    yield from zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)])
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """By shard, as many shards to each task as to any other."""
+    n = min(max(1, shards), MOST_TASKS)
+    return rows.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int"))
+
+
 def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if counts is None:
         keys, counts = np.unique(keys, return_counts=True)
@@ -212,17 +225,14 @@ def count_shards(docs: DataFrame, order: int, shards: int, text_col: str) -> Dat
                 return
             keys, counts = tally(np.concatenate(held[kind]))
             held[kind].clear()
-            cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-            rows = [(s, pack(keys[a:z], counts[a:z])) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
+            rows = [(s, pack(keys[a:z], counts[a:z])) for s, a, z in runs(shard_of(keys, shards))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in rows], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())],
                 names=["shard", "kind", "blob"],
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             each = [tokens(t) for t in as_bytes(batch.column(0))]
-            if not each:
-                continue
             ids = np.concatenate(each)
             starts = np.concatenate(([0], np.cumsum([len(x) for x in each])[:-1]))
             held[1].append(ngrams(ids, starts, 1))
@@ -234,7 +244,6 @@ def count_shards(docs: DataFrame, order: int, shards: int, text_col: str) -> Dat
         yield from flush(1)
         yield from flush(2)
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, _SENT)
 
 
@@ -276,9 +285,8 @@ def fill_shards(sent: DataFrame, shards: int, hashes: int, levels: Levels) -> Da
                 held.append((kind, blob))
         yield from flush()
 
-    small_batches(sent.sparkSession, 64)
     schema = "shard long, vocab binary, block binary, distinct long, total long, hist array<long>"
-    return sent.repartition(min(max(1, shards), MOST_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return dealt(sent, shards).sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 class Model:
@@ -328,9 +336,9 @@ class Unit:
     def questions(self, shards: int) -> Iterator[tuple[int, bytes]]:
         """(shard, blob): rare tokens and n-grams of the shard."""
         rare = self.words[self.exact < 0]
-        cuts = [np.searchsorted(shard_of(keys, shards), np.arange(shards + 1)) for keys in (rare, self.grams)]
-        for s in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist():
-            asked = [keys[c[s] : c[s + 1]] for keys, c in zip((rare, self.grams), cuts)]
+        found = [{s: keys[a:z] for s, a, z in runs(shard_of(keys, shards))} for keys in (rare, self.grams)]
+        for s in sorted(found[0].keys() | found[1].keys()):
+            asked = [x.get(s, rare[:0]) for x in found]
             yield s, np.array([len(x) for x in asked], np.int64).tobytes() + b"".join(squeeze(gaps(x)) for x in asked)
 
     def score(self, answers: list[bytes], model: Model, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,7 +411,6 @@ def score(
                 often = np.frexp(counts.astype(np.float64))[1] >= least
                 yield pa.RecordBatch.from_arrays([pa.array([keys[often].tobytes() + counts[often].tobytes()], pa.binary())], names=["blob"])
 
-    small_batches(spark, 64)
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in filled.select("vocab").mapInArrow(frequents, "blob binary").collect():
         n = len(r.blob) // 16
@@ -464,7 +471,6 @@ def score(
 
     names = ["unit", "shard", "blob"]
     schema = "unit long, shard long, blob binary"
-    small_batches(spark)
     texts = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     first = scratch.save(texts.mapInArrow(deal, schema), "first")
 
@@ -489,8 +495,7 @@ def score(
     none = F.lit(None).cast("long")
     both = filled.select("shard", F.lit(0).alias("kind"), none.alias("unit"), F.col("vocab").alias("blob"))
     both = both.union(filled.select("shard", F.lit(1), none, "block")).union(first.mapInArrow(ask, schema).select("shard", F.lit(2), "unit", "blob"))
-    small_batches(spark, 16)  # a unit of documents in a row
-    told = both.repartition(min(max(1, shards), MOST_TASKS), "shard").sortWithinPartitions("shard", "kind").mapInArrow(meet, schema)
+    told = dealt(both, shards).sortWithinPartitions("shard", "kind").mapInArrow(meet, schema)
     told = scratch.save(told, "told")
 
     def finish(batches):
