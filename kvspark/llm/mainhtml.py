@@ -16,10 +16,11 @@ Articles and ``main`` are in the tree too; their text stays where low nodes hold
 copies of a page. A page whose ``article`` elements (or else those and ``main``) hold half or more
 of the text that the tree keeps prints these only.
 
-Cases: null HTML gives empty text, a null or odd URL belongs to the host ''; a page that is alone
-on its host has full content importance; unclosed and misnested tags
-are read as far as they go; repeated rows count in the tree as often as they occur and give
-repeated results; an empty table gives no rows.
+Cases: null and empty HTML gives empty text, a null or odd URL belongs to the host '', a null id is
+carried along; a page that is alone on its host has full content importance; unclosed and misnested
+tags are read as far as they go, pages of any length whole; a node with just the threshold's
+importance (a tie) stays; repeated rows count in the tree as often as they occur and give repeated
+results; an empty table gives no rows; columns that are not kept play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts
+from .common import Scratch, as_bytes, map_texts, slices
 
 #: Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -99,6 +100,11 @@ def sign(*parts) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Of a low node in a broadcast table, with what holds it; and tasks that a host's pages are dealt to
+#: where the table is too large for that.
+_LOW_BYTES, _SALTS = 128, 32
+
+
 class Node:
     __slots__ = ("tag", "key", "mark", "zone", "children", "parent", "words", "vague")
 
@@ -340,9 +346,10 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     keep=("page_id", "url"),
+    broadcast_mb: int = 64,
 ) -> DataFrame:
-    """pages (columns keep) with text and n_chars. HTML moves between tasks only if the hosts'
-    low nodes are too many to be sent to every task."""
+    """pages (columns keep) with text and n_chars. The low nodes of all hosts are sent to every
+    task, if they take at most broadcast_mb; else pages and low nodes meet by host."""
     scratch = Scratch(pages.sparkSession, "mainhtml")
 
     def make():
@@ -351,22 +358,49 @@ def extract(
     named = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html_col}`").cast("string").alias("page"), F.col(f"`{url_col}`").alias("link"))
     named = map_texts(named, "link", [T.StructField("host", T.StringType())], make)
     tree = style_tree(named, "host", "page")
-    low = importance(tree, damping).where(F.col("importance") < threshold)
-    low = scratch.save(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low")
+    low = scratch.save(importance(tree, damping).where(F.col("importance") < threshold).select("host", "node"), "low")
     kept = [f"k{i}" for i in range(len(keep))]
-    joined = named.join(low, "host", "left").select(*kept, "page", "low")
     schema = T.StructType([T.StructField(c, pages.schema[c].dataType) for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def run(batches):
-        for batch in batches:
-            n = len(keep)
-            texts = [main_text(p or "", set(x or ())) for p, x in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(n)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=[*keep, "text", "n_chars"],
-            )
-
-    return joined.mapInArrow(run, schema)
+    def printed(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            names=[*keep, "text", "n_chars"],
+        )
+
+    if low.count() * _LOW_BYTES <= broadcast_mb << 20:
+        nodes: dict[str, set[int]] = {}
+        for r in low.toLocalIterator():
+            nodes.setdefault(r.host, set()).add(r.node)
+        sent = pages.sparkSession.sparkContext.broadcast(nodes)
+        none: set[int] = set()
+
+        def run(batches):
+            for batch in (part for whole in batches for part in slices(whole, len(keep))):
+                rows = zip(as_bytes(batch.column(len(keep))), batch.column(len(keep) + 1).to_pylist())
+                yield printed(batch, [main_text((p or b"").decode("utf-8", "replace"), sent.value.get(h, none)) for p, h in rows])
+
+        return named.select(*kept, "page", "host").mapInArrow(run, schema)
+
+    def meet(batches):
+        """Of each host and salt its low nodes, then its pages."""
+        now, held = None, set()
+        for batch in (part for whole in batches for part in slices(whole, len(keep))):
+            shown, texts = [], []
+            for k, (p, *key, node) in enumerate(zip(as_bytes(batch.column(len(keep))), *(batch.column(len(keep) + i).to_pylist() for i in (1, 2, 3)))):
+                if key != now:
+                    now, held = key, set()
+                if node is not None:
+                    held.add(node)
+                else:
+                    shown.append(k)
+                    texts.append(main_text((p or b"").decode("utf-8", "replace"), held))
+            if shown:
+                yield printed(batch.take(pa.array(shown)), texts)
+
+    salted = named.select(*kept, "page", "host", F.pmod(F.xxhash64("page", "link"), F.lit(_SALTS)).cast("int").alias("salt"), F.lit(None).cast("long").alias("node"))
+    each = low.select(*[F.lit(None).cast(pages.schema[c].dataType).alias(k) for k, c in zip(kept, keep)], F.lit(None).cast("string").alias("page"), "host", F.explode(F.array(*map(F.lit, range(_SALTS)))).alias("salt"), "node")
+    return salted.unionByName(each).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("node").asc_nulls_last()).mapInArrow(meet, schema)
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,8 @@
+import math
+from collections import Counter
+
+import pytest
+
 from kvspark.llm import mainhtml
 
 SF = "/root/testdata/sf0.01"
@@ -90,3 +95,85 @@ def test_tree_decides_in_articles_too(spark):
 def test_short_article_beside_a_long_advert():
     page = "<div class=ad>Buy this, and that, and much more.</div><article><h1>Few</h1><p>words.</p></article>"
     assert mainhtml.main_text(page, set()) == "Few\nwords."
+
+
+def test_parts_of_an_article_survive():
+    page = "<article><p>Energy <math><mi>e</mi></math> is</p><div class='stock alert'>Stocks fall.</div><object><p>A chart.</p></object><div class='share-price'>9 pounds</div><p class='related'>Related work.</p></article>"
+    assert mainhtml.main_text(page, set()) == "Energy e is\nStocks fall.\nA chart.\n9 pounds\nRelated work."
+
+
+def site(spark):
+    rows = []
+    for i in range(9):
+        body = "".join(f"<p class=p{k}>Story {i} part {k} of it</p>" for k in range(4))
+        plea = "<div class=plea><p>Give to us</p><ul><li>now<li>or later</ul></div>" if i % 3 else ""
+        rows.append((i, f"http://h.example/{i}", f"<article>{body}{plea}<div class='related-box'><p>More {i % 2}</p></div></article>"))
+        rows.append((50 + i, "http://t.example/x", f"<div class=top>Slogan</div><div class=text>{body * (i % 2 + 1)}</div><p>{i}</p>"))
+    return spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
+
+
+def plain_low(pages, threshold=0.4, damping=0.9):
+    """The low nodes of each host, from the definitions: counts page by page, then entropies."""
+    seen = {}
+    for url, page in pages:
+        blocks, nodes = mainhtml.parse(page)
+        told = {}
+        for x in nodes:
+            if x.mark in (mainhtml.PLAIN, mainhtml.MAIN):
+                node = told.setdefault(x.key, {"said": 0, "shown": Counter(), "texts": Counter()})
+                node["said"] = max(node["said"], mainhtml.VAGUE if x.vague else x.mark)
+                if x.children:
+                    node["shown"][tuple(x.children)] += 1
+        for x, t in blocks:
+            if x.mark in (mainhtml.PLAIN, mainhtml.MAIN):
+                told.setdefault(x.key, {"said": None, "shown": Counter(), "texts": Counter()})["texts"][t] += 1
+        for key, node in told.items():
+            seen.setdefault((mainhtml.host(url.encode()), key), []).append(node)
+    low = {}
+    for (host, key), here in seen.items():
+        texts = {t for n in here for t in n["texts"]}
+        here_said = [n for n in here if n["said"] is not None]
+        m = len(here_said)
+        if not texts:
+            continue
+
+        def entropy(counts):
+            total = sum(counts)
+            return -sum(c / total * math.log(c / total) for c in counts if c)
+
+        share = lambda e: min(1.0, e / math.log(m)) if m > 1 else None
+        said = max((n["said"] for n in here_said), default=None)
+        shown = sum((n["shown"] for n in here), Counter())
+        if said == mainhtml.VAGUE:
+            presentation = 0.0
+        elif said == mainhtml.MAIN:
+            presentation = 1.0
+        elif m == 1:
+            presentation = 1.0
+        else:
+            presentation = share(entropy(shown.values())) if shown and m > 1 else 0.0
+        mean = sum(entropy([n["texts"][t] for n in here]) for t in texts) / len(texts)
+        content = 1 - share(mean) if m > 1 else 1.0
+        own = damping ** min(len(texts), 50)
+        if own * content + (1 - own) * max(presentation, content) < threshold - 1e-12:
+            low.setdefault(host, set()).add(key)
+    return low
+
+
+@pytest.mark.parametrize("table", ["site", SF])
+def test_query_equals_a_plain_style_tree(spark, table):
+    pages = site(spark) if table == "site" else spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.select("page_id", "url", "html").collect()
+    low = plain_low([(r.url, r.html or "") for r in rows])
+    want = sorted((r.page_id, mainhtml.main_text(r.html or "", low.get(mainhtml.host(r.url.encode()), set()))) for r in rows)
+    assert sorted((r.page_id, r.text) for r in mainhtml.query(pages).collect()) == want
+    assert sorted((r.page_id, r.text) for r in mainhtml.extract(pages, broadcast_mb=0).collect()) == want
+
+
+def test_importance_decides(spark):
+    pages = site(spark)
+    own = {r.page_id: r.text for r in mainhtml.query(pages).collect()}
+    without = {r.page_id: r.text for r in mainhtml.extract(pages, threshold=0.0).collect()}
+    assert "Give to us" not in own[1] and "Give to us" in without[1]
+    assert all(own[i].startswith(f"Story {i} part 0") for i in range(9))
+    assert "Slogan" not in own[51] and "Slogan" in without[51]
