@@ -12,9 +12,10 @@ texts of one role.
 
 Cases: null roles and texts are empty; repeated rows of a message id are one message (the least
 row); a parent that does not exist makes a root; a cycle of replies raises; in ``by_turns`` repeated
-rows and ties stay separate turns, ordered by turn, role and text, nulls first, and a null
-conversation id is a conversation of its own; an empty table gives no rows. A formatted path is
-one row, as long as its texts.
+rows and ties stay separate turns, ordered by turn, role and text, nulls first, and each row without
+a conversation id is a conversation of its own; an empty table gives no rows; other columns are left
+out, whatever their names; texts of any length are formatted whole, and a path is one row, as long
+as its texts. Of branches with equal scores (ties) the one with the least leaf ranks first.
 """
 
 from __future__ import annotations
@@ -142,7 +143,8 @@ def read_back(formatted: DataFrame, *keep: str) -> DataFrame:
 
 def by_turns(conversations: DataFrame) -> DataFrame:
     """Rows of turns as messages, each replying to the one before it in its conversation."""
-    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
+    alone = F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), alone)
     order = Window.partitionBy("key").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", key.alias("key"), "turn", "role", "text").withColumn("n", F.row_number().over(order))
     name = lambda n: F.concat("key", F.lit("/"), n.cast("string"))
@@ -182,7 +184,7 @@ def query(conversations: DataFrame) -> DataFrame:
         joined(F.when(F.col("in_loss"), F.struct("at", F.col("text").alias("s")))).alias("loss"),
     )
     return back.select(
-        F.expr("cast(if(tree = 'n', null, substr(tree, 2)) as long)").alias("conv_id"),
+        F.expr("cast(if(tree like 'n%', null, substr(tree, 2)) as long)").alias("conv_id"),
         "n_turns",
         F.sha2("all", 256).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"),
@@ -193,8 +195,8 @@ def query(conversations: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
 ), e AS (
   SELECT *, replace(replace(replace(text, '\', '\b'), '#', '\h'), '</turn>', '\l/turn>') AS body,
          replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '</turn>', '\l/turn>'), ':', '\c') AS head FROM c
@@ -204,5 +206,5 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(length(head) + length(body) + 14) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
