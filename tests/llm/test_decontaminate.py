@@ -61,4 +61,4 @@ def test_cases(spark):
     assert dc.query(docs, bench.limit(0)).where("contaminated").count() == 0
     assert dc.query(docs.limit(0), bench).collect() == []
     kept = dc.clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "7", "None"]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "7", "None"]  # 4 is long, but holds a passage
