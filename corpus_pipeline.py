@@ -19,7 +19,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with less than 5 % of their words inside benchmark passages."""
+    """Documents that hold no benchmark passage."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
