@@ -35,9 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOTS: list[str] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB, where the session has no bound of its own. Results are computed after
+    they are returned, so the setting stays; one that the user made is left alone."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
+
+
 def _delete(path: str) -> None:
     jvm = SparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,6 +68,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         _ROOTS.append(self.root)
 
@@ -108,6 +117,7 @@ def map_texts(
     keep: columns passed through (all by default). A kept column whose name, in any case, is
     that of a new one gives way to it.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in kept] + list(fields))
