@@ -26,10 +26,12 @@ def fold(log: DataFrame, committed: Column | None = None, before: int | None = N
     return latest(log).where("op = 'put'").select("key", "value")
 
 
-def overlay(base: DataFrame, log: DataFrame) -> DataFrame:
-    """A bucket after a log that comes later than all of its rows."""
-    old = base.select("key", "value", F.lit("put").alias("op"), F.lit(-1).cast("long").alias("seq"))
-    return fold(old.unionByName(log.select("key", "value", "op", "seq")))
+def overlay(base: DataFrame, changed: DataFrame, small: bool = False) -> DataFrame:
+    """A bucket after mutations (a row a key) that come later than all of its rows. The bucket's rows
+    move only if the changed keys are not small, that is, can't be sent to every task."""
+    keys = changed.select("key")
+    old = base.select("key", "value").join(F.broadcast(keys) if small else keys, "key", "left_anti")
+    return old.unionByName(changed.where("op = 'put'").select("key", "value"))
 
 
 def remove(b: DataFrame, keys: DataFrame) -> DataFrame:

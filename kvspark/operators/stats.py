@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import BLOB_OVER, KEY_LIMIT, blob_pages
 
-def counters() -> list:
+def counters(of: Column | None = None) -> list:
+    """Of the rows that of holds for, all if None."""
+    own = F.lit(True) if of is None else of
     size = F.octet_length("key") + F.octet_length("value")
     return [
-        F.count("*").alias("items_n"),
-        F.count(F.when(F.octet_length("value") > BLOB_OVER, 1)).alias("blobs_n"),
-        F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes_in_use"),
+        F.count(F.when(own, 1)).alias("items_n"),
+        F.count(F.when(own & (F.octet_length("value") > BLOB_OVER), 1)).alias("blobs_n"),
+        F.coalesce(F.sum(F.when(own, size.cast("long"))), F.lit(0)).alias("bytes_in_use"),
     ]
 
 

@@ -2,16 +2,20 @@
 
 Writes are buffered: single puts and removes in a dictionary, bulk writes as DataFrames, in order.
 Reads in the transaction see the snapshot overlaid with the buffer. A commit writes, for each
-changed bucket, a delta of mutations, or, after bulk writes or many deltas, the whole bucket sorted
-by key; then it publishes one version with all of them.
+changed bucket, a delta of its mutations, a row a key, sorted by key; then it publishes one version
+with all of them. Once a bucket has many deltas, a commit merges the newest ones of about equal size,
+and takes in the bucket's other rows only when the deltas are a good share of them. So what is
+written follows what is changed.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +38,10 @@ from .cursor import Cursor
 from .manifest import BucketEntry, Manifest
 
 ROW = "key binary, value binary"
-LOG = "key binary, value binary, op string, seq long"
+LOG = "key binary, value binary, op string"
+#: Bytes of keys that a join sends to every task at most. Deltas merge with one before them that is at
+#: most so many times their size.
+_BROADCAST, _TIER = 64 << 20, 4
 _MOST_SEQUENCE = (1 << 63) - 1
 
 
@@ -45,6 +52,7 @@ class Bucket:
         self._single: dict[bytes, bytes | None] = {}  # None: removed
         self._bulk: list[DataFrame] = []  # logs, in order, before the single ones
         self._only_puts = True  # in the bulk logs
+        self._bulk_bytes = 0
 
     # Reads
 
@@ -55,29 +63,23 @@ class Bucket:
         if not self.entry.folders() and len(self._bulk) == 1 and self._only_puts and not self._single:
             return self._bulk[0].select("key", "value")  # a first load: unique keys, nothing to fold
         base, logs = self._stored(), self._logs()
-        if not logs:
-            return base
-        log = logs[0].withColumn("seq", F.lit(0).cast("long"))
-        for k, more in enumerate(logs[1:], 1):
-            log = log.unionByName(more.withColumn("seq", F.lit(k).cast("long")))
-        return fold.overlay(base, log)
+        small = not self._bulk and (sum(self.entry.delta_rows) + len(self._single)) * KEY_LIMIT <= _BROADCAST
+        return fold.overlay(base, _merged(logs), small) if logs else base
 
     def _stored(self) -> DataFrame:
         spark, entry = self.tx.store.spark, self.entry
-        return spark.read.schema(ROW).parquet(self.tx._at(entry.base)) if entry.base else spark.createDataFrame([], ROW)
+        return self._base(entry.base) if entry.base else spark.createDataFrame([], ROW)
 
-    def _logs(self, stored: bool = True, buffered: bool = True) -> list[DataFrame]:
+    def _delta(self, folder: str) -> DataFrame:
+        return self.tx.store.spark.read.schema(LOG).parquet(self.tx._at(folder))
+
+    def _logs(self, single: bool = True) -> list[DataFrame]:
         """Mutations in order, each with one row a key."""
-        spark = self.tx.store.spark
-        logs = [spark.read.schema(LOG).parquet(self.tx._at(d)) for d in self.entry.deltas] if stored else []
-        if buffered:
-            logs += self._bulk
-            if self._single:
-                logs.append(self._single_log())
-        return logs
+        logs = [*map(self._delta, self.entry.deltas), *self._bulk]
+        return [*logs, self._single_log()] if single and self._single else logs
 
     def _single_log(self) -> DataFrame:
-        rows = [(bytearray(k), bytearray(v or b""), "del" if v is None else "put", 0) for k, v in self._single.items()]
+        rows = [(bytearray(k), bytearray(v or b""), "del" if v is None else "put") for k, v in self._single.items()]
         return self.tx.store.spark.createDataFrame(rows, LOG)
 
     def get(self, key: bytes) -> tuple[bytes | None, bool]:
@@ -85,8 +87,12 @@ class Bucket:
         if key in self._single:
             value = self._single[key]
             return value, value is not None
-        row = scan.get(self.df, key).head()
-        return (bytes(row.value), True) if row else (None, False)
+        # From the newest log back, each read by key alone; what was put one by one is not there.
+        logs = self._logs(single=False)
+        found = _merged([scan.get(log, key) for log in logs]).head() if logs else None
+        if found is None:
+            found = scan.get(self._stored(), key).withColumn("op", F.lit("put")).head()
+        return (bytes(found.value), True) if found and found.op == "put" else (None, False)
 
     def multi_get(self, requests: DataFrame) -> DataFrame:
         return scan.multi_get(self.df, requests)
@@ -133,13 +139,24 @@ class Bucket:
         self._single[bytes(key)] = None
         self.tx._touch(self)
 
+    def remove_many(self, keys: Iterable[bytes]) -> None:
+        """As remove, for all of the keys at once: they are looked up together."""
+        self.tx._writable()
+        asked = {bytes(k) for k in keys}
+        rows = self.tx.store.spark.createDataFrame([(bytearray(k),) for k in asked], "key binary")
+        held = {bytes(r.key) for r in self.df.select("key").join(F.broadcast(rows), "key", "left_semi").collect()}  # some of the keys asked for
+        if asked - held:
+            raise KeyNotFound(repr(min(asked - held)))
+        self._single |= dict.fromkeys(asked)
+        self.tx._touch(self)
+
     def put_df(self, rows: DataFrame) -> None:
         """(key, value), unique keys. One pass checks sizes, nulls and repeated keys."""
         self.tx._writable()
         rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
-        each = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("v"), F.count("value").alias("values"))
+        each = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("v"), F.count("value").alias("values"), F.sum(F.octet_length("key") + F.octet_length("value")).alias("bytes"))
         found = each.agg(
-            F.max("n").alias("n"), F.max(F.octet_length("key")).alias("k"), F.max("v").alias("v"), F.count(F.when(F.col("key").isNull() | (F.col("values") < F.col("n")), 1)).alias("nulls")
+            F.max("n").alias("n"), F.max(F.octet_length("key")).alias("k"), F.max("v").alias("v"), F.count(F.when(F.col("key").isNull() | (F.col("values") < F.col("n")), 1)).alias("nulls"), F.sum("bytes").alias("bytes")
         ).head()
         if found.nulls:
             raise ValueError("null keys or values")
@@ -149,19 +166,27 @@ class Bucket:
             raise ValueTooLarge(f"{found.v} bytes")
         if (found.n or 0) > 1:
             raise ValueError("repeated keys have no order; fold them first")
-        self._add(rows.select("key", "value", F.lit("put").alias("op")))
+        if found.bytes is not None:
+            self._add(rows.select("key", "value", F.lit("put").alias("op")), found.bytes)
 
     def remove_df(self, keys: DataFrame) -> None:
         """Keys that are not there are passed over."""
         self.tx._writable()
+        keys = keys.select(F.col("key").cast("binary").alias("key")).distinct()
+        size = keys.agg(F.sum(F.octet_length("key").cast("long"))).head()[0]
+        if size is None:
+            return
         self._only_puts = False
-        self._add(keys.select(F.col("key").cast("binary").alias("key")).distinct().select("key", F.lit(b"").alias("value"), F.lit("del").alias("op")))
+        self._add(keys.select("key", F.lit(b"").alias("value"), F.lit("del").alias("op")), size)
 
-    def _add(self, log: DataFrame) -> None:
+    def _add(self, log: DataFrame, size: int) -> None:
         if self._single:
             self._bulk.append(self._single_log())
+            self._bulk_bytes += sum(len(k) + len(v or b"") for k, v in self._single.items())
+            self._only_puts &= None not in self._single.values()
             self._single = {}
         self._bulk.append(log)
+        self._bulk_bytes += size
         self.tx._touch(self)
 
     def next_sequence(self, n: int = 1) -> int:
@@ -177,34 +202,62 @@ class Bucket:
 
     def _write(self) -> BucketEntry:
         """Write what changed; the entry for the next version."""
-        new = {"sequence": self.sequence_now}
-        if self._bulk or len(self.entry.deltas) >= self.tx.store.options.compact_after and self._single:
-            folder = self.tx._folder()
-            parts = max(1, int(self.tx.store.spark.conf.get("spark.sql.shuffle.partitions")))
-            rows = self.df.repartitionByRange(parts, "key").sortWithinPartitions("key")
-            rows.write.option("maxRecordsPerFile", self.tx.store.options.file_rows).parquet(self.tx._at(folder))
-            written = self.tx.store.spark.read.schema(ROW).parquet(self.tx._at(folder))
-            new |= {"base": folder, "deltas": (), **stats.bucket_stat(written).head().asDict()}
-        elif self._single:
-            # The counters change by the rows of the touched keys only.
-            before = self._counters()
-            folder = self.tx._folder()
-            self._single_log().coalesce(1).sortWithinPartitions("key").write.parquet(self.tx._at(folder))
-            live = [(k, v) for k, v in self._single.items() if v is not None]
-            after = (len(live), sum(len(v) > 1024 for _, v in live), sum(len(k) + len(v) for k, v in live))
-            counts = {n: getattr(self.entry, n) - before[n] + a for n, a in zip(("items_n", "blobs_n", "bytes_in_use"), after)}
-            new |= {"deltas": (*self.entry.deltas, folder), **counts}
-        return BucketEntry(**{**self.entry.__dict__, **new})
-
-    def _counters(self) -> dict:
-        """Of the stored rows with keys in the buffer."""
-        keys = self._single_log().select("key")
-        single, self._single = self._single, {}
-        try:
-            old = self.df
-        finally:
-            self._single = single
-        return stats.bucket_stat(old.join(keys, "key", "left_semi")).head().asDict()
+        entry = BucketEntry(**{**self.entry.__dict__, "sequence": self.sequence_now})
+        if not self._bulk and not self._single:
+            return entry
+        size = self._bulk_bytes + sum(len(k) + len(v or b"") for k, v in self._single.items())
+        if not entry.folders() and len(self._bulk) == 1 and self._only_puts and not self._single:
+            base = self._store(self._bulk[0].select("key", "value"), size)
+            return replace(entry, base=base, **stats.bucket_stat(self._base(base)).head().asDict())
+        logs = [*self._bulk, *([self._single_log()] if self._single else [])]
+        folder = self._store(_merged(logs).select("key", "value", "op"), size)
+        log = self._delta(folder)
+        # The counters change by the rows of the touched keys only.
+        now = log.agg(F.count("*").alias("n"), *stats.counters(F.col("op") == "put")).head().asDict()
+        n = now.pop("n")
+        before = Bucket(self.tx, self.name, entry).df
+        keys = log.select("key")
+        gone = stats.bucket_stat(before.join(F.broadcast(keys) if n * KEY_LIMIT <= _BROADCAST else keys, "key", "left_semi")).head().asDict()
+        counts = {k: getattr(entry, k) - gone[k] + v for k, v in now.items()}
+        return self._compacted(replace(entry, deltas=(*entry.deltas, folder), delta_rows=(*entry.delta_rows, n), **counts))
+
+    def _compacted(self, entry: BucketEntry) -> BucketEntry:
+        options, size = self.tx.store.options, self.tx.store._size
+        if len(entry.deltas) <= options.compact_after:
+            return entry
+        sizes = [size(d) for d in entry.deltas]
+        k = len(sizes) - 1
+        while k and sizes[k - 1] <= _TIER * sum(sizes[k:]):
+            k -= 1
+        base = size(entry.base) if entry.base else 0
+        if not k and sum(sizes) >= options.rewrite_share * base:
+            rows = Bucket(self.tx, self.name, entry).df
+            return replace(entry, base=self._store(rows, base + sum(sizes)), deltas=(), delta_rows=())
+        if k == len(sizes) - 1:
+            return entry
+        folder = self._store(_merged([self._delta(d) for d in entry.deltas[k:]]).select("key", "value", "op"), sum(sizes[k:]))
+        return replace(entry, deltas=(*entry.deltas[:k], folder), delta_rows=(*entry.delta_rows[:k], self._delta(folder).count()))
+
+    def _store(self, rows: DataFrame, size: int) -> str:
+        """Write rows of about so many bytes, sorted by key; the folder."""
+        folder, options = self.tx._folder(), self.tx.store.options
+        parts = max(1, math.ceil(size / options.file_bytes))
+        rows = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
+        rows.sortWithinPartitions("key").write.option("maxRecordsPerFile", options.file_rows).parquet(self.tx._at(folder))
+        return folder
+
+    def _base(self, folder: str) -> DataFrame:
+        return self.tx.store.spark.read.schema(ROW).parquet(self.tx._at(folder))
+
+
+def _merged(logs: list[DataFrame]) -> DataFrame:
+    """The last mutation of each key; each log has a row a key."""
+    if len(logs) == 1:
+        return logs[0]
+    log = logs[0].select("key", "value", "op", F.lit(0).alias("seq"))
+    for k, more in enumerate(logs[1:], 1):
+        log = log.unionByName(more.select("key", "value", "op", F.lit(k).alias("seq")))
+    return fold.latest(log).drop("seq")
 
 
 class Tx:

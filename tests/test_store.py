@@ -106,6 +106,109 @@ def test_deltas_compact(spark, tmp_path):
         assert store.vacuum() and len(held(store)) == 4 and store.vacuum() == []
 
 
+def files(store):
+    return {os.path.join(d, n): os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(os.path.join(store.path, "data")) for n in names if n.endswith(".parquet")}
+
+
+def jobs(spark, work):
+    """How many jobs some work runs."""
+    status = spark.sparkContext.statusTracker()
+    group = f"jobs-{time.time()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(status.getJobIdsForGroup(group))
+
+
+def test_writes_follow_the_change(spark, store):
+    with store.update() as tx:
+        tx.create_bucket(b"b").put_df(rows(spark, 200_000))
+    large = files(store)
+    want = {f"test_{i:05d}".encode(): f"value_{i}".encode() for i in range(200_000)}
+    for k in range(12):
+        with store.update() as tx:
+            b = tx.bucket(b"b")
+            b.put_df(rows(spark, 10, f=f"new_{k}_" + "{:05d}"))
+            b.remove_df(spark.createDataFrame([(bytearray(b"test_%05d" % k),), (bytearray(b"none"),)], "key binary"))
+        want |= {f"new_{k}_{i:05d}".encode(): f"value_{i}".encode() for i in range(10)}
+        del want[b"test_%05d" % k]
+        written = {f: n for f, n in files(store).items() if f not in large}
+        assert sum(written.values()) < sum(large.values()) / 4 and all(f in files(store) for f in large)
+    entry = store.current.buckets[b"b"]
+    assert len(entry.deltas) <= store.options.compact_after + 1 and entry.items_n == len(want) == 200_000 + 108
+    assert held(store) == want
+    with store.view() as tx:
+        plan = tx.bucket(b"b").df._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert tx.bucket(b"b").get(b"test_00003") == (None, False) and tx.bucket(b"b").get(b"new_3_00002") == (b"value_2", True)
+
+
+def test_many_removes_take_few_jobs(spark, store):
+    with store.update() as tx:
+        tx.create_bucket(b"b").put_df(rows(spark, 20_000))
+    keys = [b"test_%05d" % i for i in range(0, 20_000, 2)]
+
+    def remove():
+        with store.update() as tx:
+            tx.bucket(b"b").remove_many(keys)
+
+    assert jobs(spark, remove) < 20
+    assert store.status()["Buckets"]["b"]["ItemsN"] == 10_000
+    with store.update() as tx, pytest.raises(KeyNotFound):
+        tx.bucket(b"b").remove_many([b"test_00001", b"test_00002"])
+    with store.view() as tx:
+        assert tx.bucket(b"b").get(b"test_00001")[1]
+
+
+def test_options(spark, tmp_path):
+    log = tmp_path / "log"
+    with Store.open(spark, str(tmp_path / "s"), Options(mode=0o700, log_path=str(log))) as store:
+        for _ in range(2):
+            with store.update() as tx:
+                tx.create_bucket_if_missing(b"b").put(b"k", b"v")
+        assert os.stat(os.path.join(store.path, "lock")).st_mode & 0o777 == 0o600
+    assert log.read_text().splitlines() == ["1\t1 buckets", "2\t1 buckets"]
+
+
+@pytest.mark.parametrize("n", [1_000_000])
+def test_reference_sizes(spark, store, n):
+    """A million keys put, half of them removed chunk by chunk; and a million random ones."""
+    from pyspark.sql import functions as F
+
+    with store.update() as tx:
+        tx.create_bucket(b"b").put_df(rows(spark, n, f="test_{}"))
+    chunk = 100_000
+    with store.update() as tx:
+        b = tx.bucket(b"b")
+        for k in range(n // 2 // chunk):
+            ids = spark.range(k * chunk, (k + 1) * chunk).select(F.encode(F.format_string("test_%d", F.col("id") * 2), "UTF-8").alias("key"))
+            b.remove_df(ids)
+    assert store.status()["Buckets"]["b"]["ItemsN"] == n // 2
+    with store.view() as tx:
+        left = tx.bucket(b"b").df.where(F.expr("substr(decode(key, 'UTF-8'), 6) % 2 = 0")).count()
+        assert left == 0 and tx.bucket(b"b").get(b"test_999999") == (b"value_999999", True)
+    letters = F.translate(F.substring(F.hex(F.xxhash64("id")), 1, 8), "0123456789ABCDEF", "abcdefghABCDEFGH")
+    random_rows = spark.range(n).select(F.encode(letters, "UTF-8").alias("key"), F.lit(b"a" * 32).alias("value")).dropDuplicates(["key"])
+    with store.update() as tx:
+        tx.create_bucket(b"r").put_df(random_rows)
+    assert store.status()["Buckets"]["r"]["ItemsN"] == random_rows.count()
+
+
+def test_many_buckets_and_a_long_walk(spark, store):
+    with store.update() as tx:
+        for i in range(1000):
+            tx.create_bucket(b"bucket_%03d" % i)
+        tx.bucket(b"bucket_000").put_df(rows(spark, 10_000, f="{:05d}"))
+    with store.view() as tx:
+        assert tx.buckets() == sorted(b"bucket_%03d" % i for i in range(1000))
+        b, seen = tx.bucket(b"bucket_000"), []
+        b.for_each(lambda k, v: seen.append(k))
+        assert seen == [b"%05d" % i for i in range(10_000)]
+        assert b.prefix(b"03").count() == 1000
+
+
 def test_buckets(store):
     with store.update() as tx:
         for i in (2, 0, 1):
