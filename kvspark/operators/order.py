@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 OVERSAMPLE = 20
 
 
+#: Bytes of a part, and parts at most: their bounds become one expression.
+PART_BYTES, MOST_PARTS = 256 << 20, 2048
+
+
 def _bounds(df: DataFrame, keys: list[str]) -> list[tuple]:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(MOST_PARTS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES))
     chosen = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(OVERSAMPLE * parts)
     return [tuple(r) for r in chosen.orderBy(*keys).collect()][OVERSAMPLE - 1 :: OVERSAMPLE][: parts - 1]
 

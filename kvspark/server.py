@@ -29,29 +29,29 @@ _KV = "/api/v1/kv"
 class Operations:
     """What a request does to the store; each call is a transaction."""
 
-    def __init__(self, store: Store):
-        self.store = store
+    def __init__(self, store: Store, bucket: bytes = BUCKET):
+        self.store, self.bucket = store, bucket
 
     def get(self, key: bytes) -> bytes | None:
         with self.store.view() as tx:
             try:
-                value, found = tx.bucket(BUCKET).get(key)
+                value, found = tx.bucket(self.bucket).get(key)
             except BucketNotFound:
                 return None
         return value if found else None
 
     def put(self, key: bytes, value: bytes) -> None:
         with self.store.update() as tx:
-            tx.create_bucket_if_missing(BUCKET).put(key, value)
+            tx.create_bucket_if_missing(self.bucket).put(key, value)
 
     def delete(self, key: bytes) -> None:
         with self.store.update() as tx:
-            tx.bucket(BUCKET).remove(key)
+            tx.bucket(self.bucket).remove(key)
 
     def range(self, begin: bytes | None, end: bytes | None, prefix: bytes, limit: int) -> list[tuple[bytes, bytes]]:
         with self.store.view() as tx:
             try:
-                rows = scan.prefix(tx.bucket(BUCKET).range(begin, end), prefix)
+                rows = scan.prefix(tx.bucket(self.bucket).range(begin, end), prefix)
             except BucketNotFound:
                 return []
             return [(bytes(r.key), bytes(r.value)) for r in rows.orderBy("key").limit(limit).collect()]
@@ -131,8 +131,8 @@ class Handler(BaseHTTPRequestHandler):
     do_GET = do_POST = do_DELETE = _handle  # noqa: N815
 
 
-def make_server(store: Store, host: str = "127.0.0.1", port: int = 4321) -> ThreadingHTTPServer:
-    handler = type("Bound", (Handler,), {"operations": Operations(store)})
+def make_server(store: Store, host: str = "127.0.0.1", port: int = 4321, bucket: bytes = BUCKET) -> ThreadingHTTPServer:
+    handler = type("Bound", (Handler,), {"operations": Operations(store, bucket)})
     return ThreadingHTTPServer((host, port), handler)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvspark.operators import fold, order, scan
-from kvspark.plans import queries
+from kvspark.plans import queries, stored
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
@@ -19,17 +19,26 @@ def connection(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+ALL = {**queries.QUERIES, **stored.QUERIES}
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, name):
     sf = "sf0.001"
-    df = queries.QUERIES[name](spark, f"/root/testdata/{sf}")
-    want = connection(sf).sql(queries.SQL[name])
+    df = ALL[name](spark, f"/root/testdata/{sf}")
+    want = connection(sf).sql({**queries.SQL, **stored.SQL}[name])
     names = sorted(df.columns)
     assert names == sorted(want.columns)
     got = df.select(names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.project(", ".join(names)).fetchall()))
 
 
+def test_stored_keys_reach_the_scan(spark):
+    for name in ("store_get", "store_prefix", "store_range"):
+        plan = explain(stored.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "GreaterThanOrEqual(key" in plan.split("PushedFilters")[1] and "LessThan(key" in plan and "Exchange" not in plan
+
+
 def explain(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
