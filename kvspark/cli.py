@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import shlex
 import sys
 import urllib.error
 import urllib.request
@@ -16,6 +18,8 @@ COMMANDS = {
     "del": (("key",), 204, "remove a key"),
     "status": ((), 200, "print the counters of the store"),
 }
+ARGUMENTS = {"key": "name of the row", "value": "what to store; quote it if it holds blanks"}
+WORDS = [*COMMANDS, "help", "exit", "quit"]
 
 
 class Client:
@@ -42,8 +46,13 @@ def execute(client: Client, words: list[str], out=None) -> int:
     command, args = words[0], words[1:]
     if command == "help":
         for name in args or COMMANDS:
-            needs, _, text = COMMANDS.get(name, ((), 0, "no such command"))
+            if name not in COMMANDS:
+                print(f"unknown command: {name}", file=out)
+                return 2
+            needs, _, text = COMMANDS[name]
             print(" ".join([name, *(f"<{n}>" for n in needs)]), "-", text, file=out)
+            for n in needs if args else ():
+                print(f"  <{n}>: {ARGUMENTS[n]}", file=out)
         return 0
     if command not in COMMANDS:
         print(f"unknown command: {command}", file=out)
@@ -61,13 +70,50 @@ def execute(client: Client, words: list[str], out=None) -> int:
     return 0
 
 
-def interactive(client: Client, lines=None) -> None:
-    for line in lines if lines is not None else iter(lambda: input("> "), None):
-        words = line.split()
-        if words[:1] in (["exit"], ["quit"]):
+def completions(text: str, line: str) -> list[str]:
+    """Of the word that is typed, after what stands before it in the line."""
+    before = line.split()[: -1 if text else None]
+    known = WORDS if not before else list(COMMANDS) if before == ["help"] else []
+    return [w for w in known if w.startswith(text)]
+
+
+def history_file() -> str:
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    return os.path.join(home, "kvspark", "history")
+
+
+def terminal(prompt: str):
+    """Lines typed at a terminal, with completion, and a history kept from session to session."""
+    import readline
+
+    path = history_file()
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    if os.path.exists(path):
+        readline.read_history_file(path)
+    readline.set_completer(lambda text, k: [*completions(text, readline.get_line_buffer()), None][k])
+    readline.parse_and_bind("tab: complete")
+    try:
+        while True:
+            yield input(prompt)
+    finally:
+        readline.set_history_length(1000)
+        readline.write_history_file(path)
+
+
+def interactive(client: Client, lines, out=None) -> None:
+    """An empty line shows the commands."""
+    for line in lines:
+        try:
+            words = shlex.split(line) or ["help"]
+        except ValueError as e:
+            print(f"error: {e}", file=out or sys.stdout)
+            continue
+        if words[0] in ("exit", "quit"):
             return
-        if words:
-            execute(client, words)
+        try:
+            execute(client, words, out)
+        except OSError as e:
+            print(f"error: {e}", file=out or sys.stdout)
 
 
 def main(args: list[str] | None = None) -> int:
@@ -79,9 +125,16 @@ def main(args: list[str] | None = None) -> int:
     found = parser.parse_args(args)
     client = Client(found.host, found.port, found.https)
     if found.words:
-        return execute(client, found.words)
+        try:
+            return execute(client, found.words)
+        except OSError as e:
+            print(f"error: {e}", file=sys.stderr)
+            return 1
+    if not (sys.stdin.isatty() and sys.stdout.isatty()):
+        print("error: an interactive session needs a terminal", file=sys.stderr)
+        return 1
     try:
-        interactive(client)
+        interactive(client, terminal(f"{found.host}:{found.port}> "))
     except (EOFError, KeyboardInterrupt):
         pass
     return 0

@@ -216,6 +216,5 @@ def store_http(spark, d):
             code, body = client.run("get", key)
             out.append((key, code, json.loads(body).get("value") if code == 200 else None))
     finally:
-        server.shutdown()
-        server.server_close()
+        server.stop()
     return spark.createDataFrame(out, "k string, code int, v string")
