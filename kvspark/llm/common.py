@@ -84,6 +84,27 @@ class Scratch:
         _delete(self.path(name))
 
 
+#: A key with more than this share of the rows is hot.
+_HOT_SHARE = 1 / 1024
+
+
+def split_hot(unique: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """A row a key, with n of the rows in each -> (hot, cold). Hot are keys of more than one row and
+    of over 1/1024 of all: fewer than 1,024, which may be broadcast."""
+    is_hot = F.col("n") > max(1.0, rows * _HOT_SHARE)
+    return unique.where(is_hot), unique.where(~is_hot)
+
+
+def meet(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """rows joined with the one row of ``unique`` for their key. ``unique`` holds every key of rows,
+    once, and in n how many rows have it; both are written tables. Rows of hot keys stay where they
+    are, so no task gets much more than others."""
+    total = unique.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    hot, cold = (part.drop("n") for part in split_hot(unique, total))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded rows and bytes of this column, whatever the session's settings
     made it. They share its memory."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts
+from .common import Scratch, map_texts, meet, split_hot
 from .components import components
 
 FAN = 8
@@ -321,15 +321,16 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42, text_col: str = "t
 
 
 def classes(rows: DataFrame, scratch: Scratch, radius: int = 3, pruned=None) -> DataFrame:
-    """(fp, ident) -> (fp, component_id, root): the least ident of all rows whose fp is reachable,
-    and the print that names the component."""
-    one = scratch.save(rows.groupBy("fp").agg(F.min("ident").alias("least")), "prints")
+    """(fp, ident) -> (fp, n, component_id, root): the number of rows of a print, the least ident of
+    all rows whose fp is reachable, and the print that names the component."""
+    one = scratch.save(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("ident").alias("least")), "prints")
     found = links(one.select("fp"), scratch, radius, pruned=pruned)
     roots = components(found, scratch)
-    named = one.join(roots, one.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = one.join(roots, one.fp == roots.node, "left").select("fp", F.col("n").alias("rows"), "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id", "root")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = meet(named, scratch.save(least, "least"), "root")
+    return scratch.save(named.select("fp", F.col("rows").alias("n"), "component_id", "root"), "classes")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", pruned=None) -> DataFrame:
@@ -337,8 +338,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str =
     nodes that searches left."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, n, text_col=text_col, keep=[id_col]), "rows")
-    named = classes(rows.select("fp", F.col(f"`{id_col}`").alias("ident")), scratch, radius, pruned).select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    named = classes(rows.select("fp", F.col(f"`{id_col}`").alias("ident")), scratch, radius, pruned).select("fp", "n", "component_id")
+    return meet(rows, named, "fp").select(id_col, "fp", "component_id")
 
 
 def dedupe(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,16 +353,17 @@ def dedupe(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str = "doc_id",
     rows = scratch.save(fingerprints(slim, n, text_col="text", keep=["ident", "rk"]), "rows")
     comp = classes(rows.select("fp", "ident"), scratch, radius)
     order = F.struct(F.col("ident").isNull(), F.col("ident"), F.col("rk"))
-    full = rows.join(comp, "fp")
+    full = meet(rows, comp.select("fp", "n", "root"), "fp")
     # The component is named by its root print: component_id may be null for several components.
     best = full.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.rk").alias("rk"))
-    copies = rows.groupBy("rk").count()
-    keep = scratch.save(best.distinct().join(copies, "rk"), "keep")
-    gone = rows.select("rk").join(keep, "rk", "left_anti").distinct()
-    stay = keyed.join(scratch.save(gone, "gone"), "rk", "left_anti")
-    twice = scratch.save(keep.where("count > 1").select("rk"), "twice")
-    single = stay.join(twice, "rk", "left_anti")
-    double = stay.join(twice, "rk", "left_semi").dropDuplicates(["rk"])
+    copies = rows.groupBy("rk").agg(F.count("*").alias("n")).join(best.withColumn("kept", F.lit(True)), "rk", "left")
+    # Rows that occur once and stay are most, so only the others are listed.
+    marked = scratch.save(copies.where("kept is null or n > 1"), "marked")
+    hot, cold = split_hot(marked, rows.count())
+    others = keyed.join(F.broadcast(hot.select("rk")), "rk", "left_anti")
+    single = others.join(cold.select("rk"), "rk", "left_anti")
+    double = others.join(cold.where("kept").select("rk"), "rk", "left_semi")
+    double = double.unionByName(keyed.join(F.broadcast(hot.where("kept").select("rk")), "rk", "left_semi")).dropDuplicates(["rk"])
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return single.select(back).unionByName(double.select(back))
 
