@@ -19,6 +19,7 @@ name, in any case, of a new one give way to it, and ``clean`` keeps all columns
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -47,46 +48,86 @@ def windows(item: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
 
 
 class WuManber:
-    """Tables for patterns of one length."""
+    """Tables for patterns of one length, which are places in the items' words.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], block: int = 3):
-        self.patterns = patterns
-        self.length = m = len(next(iter(patterns)))
+    Blocks of words are known by their hashes, so the tables do not hold them. A collision only
+    shortens a jump or adds a comparison."""
+
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], length: int, block: int = 3):
+        self.length = m = length
         self.block = b = min(block, m)
         self.far = m - b + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[int, dict[tuple[bytes, ...], list[tuple[bytes, ...]]]] = {}
-        for p in patterns:
-            for end in range(b, m + 1):
-                part = p[end - b : end]
-                self.shift[part] = min(self.shift.get(part, self.far), m - end)
-            self.buckets.setdefault(hash(p[m - b :]), {}).setdefault(p[:b], []).append(p)
-
-    def find(self, text: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(start, pattern) of every occurrence."""
+        #: All items' words, where each item begins in them, and its name.
+        self.words: list[bytes] = []
+        self.begins: list[int] = []
+        self.names: list[str] = []
+        #: Names of the other items of windows that several have.
+        self.more: dict[int, list[str]] = {}
+        self.shift: dict[int, int] = {}
+        #: By the hash of the last block: a place, or, where there are several, places by the hash of the first.
+        self.buckets: dict[int, int | dict[int, list[int]]] = {}
+        known: dict[int | tuple[bytes, ...], int] = {}
+        for name, row in items:
+            begin = len(self.words)
+            self.begins.append(begin)
+            self.names.append(name)
+            self.words.extend(row)
+            for place, w in enumerate(windows(row, m), begin):
+                same = known.setdefault(hash(w), place)
+                if same is not place and tuple(self.words[same : same + m]) != w:
+                    same = known.setdefault(w, place)  # its hash is another window's
+                if same is place:
+                    self._add(place, w)
+                elif name not in (self.name(same), *self.more.get(same, ())[-1:]):
+                    self.more.setdefault(same, []).append(name)
+
+    def _add(self, place: int, w: tuple[bytes, ...]) -> None:
+        m, b = self.length, self.block
+        for end in range(b, m + 1):
+            part = hash(w[end - b : end])
+            if m - end < self.shift.get(part, self.far):
+                self.shift[part] = m - end
+        tail = hash(w[m - b :])
+        held = self.buckets.setdefault(tail, place)
+        if held is place:
+            return
+        if isinstance(held, int):
+            held = self.buckets[tail] = {hash(tuple(self.words[held : held + b])): [held]}
+        held.setdefault(hash(w[:b]), []).append(place)
+
+    def name(self, place: int) -> str:
+        return self.names[bisect_right(self.begins, place) - 1]
+
+    def owners(self, place: int) -> list[str]:
+        return [self.name(place), *self.more.get(place, ())]
+
+    def find(self, text: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(start, place of the pattern) of every occurrence."""
         shift, far, b, m, n = self.shift.get, self.far, self.block, self.length, len(text)
         end = m
         while end <= n:
-            tail = tuple(text[end - b : end])
+            tail = hash(tuple(text[end - b : end]))
             step = shift(tail, far)
             if step:
                 end += step
                 continue
             start = end - m
-            for p in self.buckets.get(hash(tail), {}).get(tuple(text[start : start + b]), ()):
-                if tuple(text[start:end]) == p:
+            held = self.buckets[tail]
+            places = (held,) if isinstance(held, int) else held.get(hash(tuple(text[start : start + b])), ())
+            for p in places:
+                if self.words[p : p + m] == text[start:end]:
                     yield start, p
             end += 1
 
 
 def compile_items(items: Iterable[tuple[str, bytes | None]], size: int) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-    for ident, text in items:
-        for w in windows(words(text), size):
-            owners = by_length.setdefault(len(w), {}).setdefault(w, [])
-            if ident not in owners[-1:]:
-                owners.append(ident)
-    return [WuManber(p) for _, p in sorted(by_length.items())]
+    by_length: dict[int, list[tuple[str, list[bytes]]]] = {}
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    for name, text in items:
+        row = [one.setdefault(w, w) for w in words(text)]
+        if row:
+            by_length.setdefault(min(len(row), size), []).append((name, row))
+    return [WuManber(rows, m) for m, rows in sorted(by_length.items())]
 
 
 def scan(tables: list[WuManber], text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -94,9 +135,12 @@ def scan(tables: list[WuManber], text: list[bytes]) -> tuple[list[tuple[int, int
     spans: list[tuple[int, int]] = []
     items: set[str] = set()
     for t in tables:
+        places = set()
         for start, p in t.find(text):
             spans.append((start, start + t.length))
-            items.update(t.patterns[p])
+            places.add(p)
+        for p in places:
+            items.update(t.owners(p))
     return merged(spans), items
 
 
@@ -138,10 +182,12 @@ def _columns(counts: list[int], spans: list[list], names: list[list[str]], perce
 
 
 def _searcher(items, size: int, percent: int) -> Callable:
-    """items: a broadcast block of items."""
+    """items: a broadcast block of items. Its tables stay with it in the worker, for further tasks."""
 
     def make():
-        tables = compile_items(items.value, size)
+        if not hasattr(items, "tables"):
+            items.tables = compile_items(items.value, size)
+        tables = items.tables
 
         def run(texts):
             rows = [words(t) for t in texts]
@@ -154,8 +200,9 @@ def _searcher(items, size: int, percent: int) -> Callable:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_mb: float) -> list:
-    """Broadcasts of at most about block_mb of texts each, whose tables take some 100 times as
-    much. The benchmark's size is measured; a larger one is dealt into blocks by hash."""
+    """Broadcasts of about block_mb of texts each, or of one item if that is longer; their tables
+    take some 40 times as much. The benchmark's size is measured; a larger one is dealt into blocks
+    by hash."""
     spark = benchmark.sparkSession
     rows = benchmark.select(
         F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("id"),
@@ -180,7 +227,7 @@ def search(
     item_text_col: str = "text",
     text_col: str = "text",
     keep: Iterable[str] | None = None,
-    block_mb: float = 2,
+    block_mb: float = 5,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word positions)
     and items. contaminated: some word is hit, and percent of all words at least.

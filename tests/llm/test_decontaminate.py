@@ -37,6 +37,20 @@ def test_search_equals_brute_force(spark):
             assert (len(dc.words(t.encode())), sum(z - a for a, z in spans), sorted(found)) == brute(t, items, size)
 
 
+def test_equal_hashes_change_nothing(monkeypatch):
+    items = [("a", "one two three four five"), ("b", "x one two three four five"), ("b", "one two three four"), ("c", "two two two two two two"), ("d", "six")]
+    items = sorted([*items, ("e", "one two three four five")])
+    texts = [t for _, t in items] + ["zero one two three four five six two two two two", "six six", "", "five four three two one"]
+    want = [brute(t, items, 4) for t in texts]
+    for collide in (lambda w: 7, lambda w: len(w[0]), hash):  # all alike, some alike, none
+        monkeypatch.setattr(dc, "hash", collide, raising=False)
+        tables = dc.compile_items([(i, t.encode()) for i, t in items], 4)
+        for t, expected in zip(texts, want):
+            row = dc.words(t.encode())
+            spans, found = dc.scan(tables, row)
+            assert (len(row), sum(z - a for a, z in spans), sorted(found)) == expected
+
+
 def test_cases(spark):
     passage = "One two three four five six seven eight nine ten eleven twelve thirteen"
     bench = spark.createDataFrame([(1, passage), (2, passage), (2, None), (None, "Über-straße!"), (4, "")], "item_id long, text string")
