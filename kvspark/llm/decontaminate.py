@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -266,15 +267,38 @@ def search(
     return joined.mapInArrow(finish, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+#: Ids of hit rows that are broadcast, some 32 MB; more meet their rows in a shuffle.
+_HIT_ROWS = 1 << 20
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = 13,
+    id_col: str = "item_id",
+    item_text_col: str = "text",
+    text_col: str = "text",
+    block_mb: float = 5,
+    together: int = _HIT_ROWS,
+) -> DataFrame:
     """The documents without any benchmark window, with their own columns. A window is rarely there
-    by chance, so that one in a long text is a leak like one in a short one."""
-    new = {f.name for f in _FIELDS}
-    renamed = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    text = f"c{docs.columns.index(options.pop('text_col', 'text'))}"
-    assert not new & set(renamed.columns)
-    found = search(renamed, benchmark, text_col=text, **options).where("n_hit = 0")
-    return found.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    by chance, so that one in a long text is a leak like one in a short one.
+
+    Of the passes over several blocks only the hit rows' numbers are kept, so texts stay where they
+    are unless more than ``together`` rows are hit."""
+    blocks = item_blocks(benchmark, id_col, item_text_col, block_mb)
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text, back = f"c{docs.columns.index(text_col)}", [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    if len(blocks) == 1:
+        return map_texts(rows, text, _FIELDS, _searcher(blocks[0], size, 0)).where("n_hit = 0").select(back)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows = scratch.save(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    passes = [
+        scratch.save(map_texts(rows, text, _FIELDS, _searcher(block, size, 0), ["rid"]).where("n_hit > 0").select("rid"), f"hit{k}")
+        for k, block in enumerate(blocks)
+    ]
+    hit = scratch.save(reduce(DataFrame.union, passes).distinct(), "hit")
+    return rows.join(F.broadcast(hit) if hit.count() <= together else hit, "rid", "left_anti").select(back)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

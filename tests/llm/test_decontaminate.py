@@ -76,3 +76,6 @@ def test_cases(spark):
     assert dc.query(docs.limit(0), bench).collect() == []
     kept = dc.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "7", "None"]  # 4 is long, but holds a passage
+    for together in (100, 0):  # many item blocks give the same, by broadcast or not
+        again = dc.clean(docs, bench, block_mb=1e-5, together=together)
+        assert again.columns == docs.columns and sorted(again.collect(), key=str) == sorted(kept.collect(), key=str)
