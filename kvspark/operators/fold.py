@@ -23,15 +23,19 @@ def fold(log: DataFrame, committed: Column | None = None, before: int | None = N
         log = log.where(committed)
     if before is not None:
         log = log.where(F.col("seq") < before)
-    return latest(log).where("op = 'put'").select("key", "value")
+    return puts(latest(log))
 
 
-def overlay(base: DataFrame, changed: DataFrame, small: bool = False) -> DataFrame:
-    """A bucket after mutations (a row a key) that come later than all of its rows. The bucket's rows
-    move only if the changed keys are not small, that is, can't be sent to every task."""
-    keys = changed.select("key")
+def puts(log: DataFrame) -> DataFrame:
+    """The bucket that a log with a row a key makes of an empty one."""
+    return log.where("op = 'put'").select("key", "value")
+
+
+def overlay(base: DataFrame, changed: DataFrame, keys: DataFrame, small: bool = False) -> DataFrame:
+    """A bucket after mutations (a row a key) that come later than all of its rows. keys: theirs, repeated
+    or not. The bucket's rows move only if these are not small, that is, can't be sent to every task."""
     old = base.select("key", "value").join(F.broadcast(keys) if small else keys, "key", "left_anti")
-    return old.unionByName(changed.where("op = 'put'").select("key", "value"))
+    return old.unionByName(puts(changed))
 
 
 def remove(b: DataFrame, keys: DataFrame) -> DataFrame:

@@ -189,9 +189,7 @@ def store_log(spark, d):
     for a, z in zip(cuts, cuts[1:]):
         last = fold.latest(log.where((F.col("seq") >= a) & (F.col("seq") < z)))
         with store.update() as tx:
-            bucket = tx.create_bucket_if_missing(name)
-            bucket.put_df(last.where("op = 'put'"))
-            bucket.remove_df(last.where("op = 'del'"))
+            tx.create_bucket_if_missing(name).apply_df(last)
     with store.view() as tx:
         rows = tx.bucket(name).df
     with store.update() as tx:

@@ -40,8 +40,8 @@ from .manifest import BucketEntry, Manifest
 ROW = "key binary, value binary"
 LOG = "key binary, value binary, op string"
 #: Bytes of keys that a join sends to every task at most. Deltas merge with one before them that is at
-#: most so many times their size.
-_BROADCAST, _TIER = 64 << 20, 4
+#: most so many times their size. Bytes that a row takes in a sort besides its key and value.
+_BROADCAST, _TIER, _ROW = 64 << 20, 4, 64
 _MOST_SEQUENCE = (1 << 63) - 1
 
 
@@ -51,8 +51,7 @@ class Bucket:
         self.sequence_now = entry.sequence
         self._single: dict[bytes, bytes | None] = {}  # None: removed
         self._bulk: list[DataFrame] = []  # logs, in order, before the single ones
-        self._only_puts = True  # in the bulk logs
-        self._bulk_bytes = 0
+        self._bulk_bytes = 0  # as a sort holds them
 
     # Reads
 
@@ -60,11 +59,15 @@ class Bucket:
     def df(self) -> DataFrame:
         """All rows, as this transaction sees them."""
         self.tx._open()
-        if not self.entry.folders() and len(self._bulk) == 1 and self._only_puts and not self._single:
-            return self._bulk[0].select("key", "value")  # a first load: unique keys, nothing to fold
+        if self._first():
+            return fold.puts(self._bulk[0])
         base, logs = self._stored(), self._logs()
         small = not self._bulk and (sum(self.entry.delta_rows) + len(self._single)) * KEY_LIMIT <= _BROADCAST
-        return fold.overlay(base, _merged(logs), small) if logs else base
+        return fold.overlay(base, _merged(logs), _keys(logs), small) if logs else base
+
+    def _first(self) -> bool:
+        """All that there is came in one bulk write: unique keys, nothing to fold."""
+        return not self.entry.folders() and len(self._bulk) == 1 and not self._single
 
     def _stored(self) -> DataFrame:
         spark, entry = self.tx.store.spark, self.entry
@@ -152,43 +155,39 @@ class Bucket:
 
     def put_df(self, rows: DataFrame) -> None:
         """(key, value), unique keys. One pass checks sizes, nulls and repeated keys."""
+        self.apply_df(rows.select("key", "value", F.lit("put").alias("op")))
+
+    def apply_df(self, log: DataFrame) -> None:
+        """(key, value, op), unique keys: puts, and removes (op ``del``) of keys that may not be there. Checked
+        as in put_df."""
         self.tx._writable()
-        rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
-        each = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("v"), F.count("value").alias("values"), F.sum(F.octet_length("key") + F.octet_length("value")).alias("bytes"))
-        found = each.agg(
-            F.max("n").alias("n"), F.max(F.octet_length("key")).alias("k"), F.max("v").alias("v"), F.count(F.when(F.col("key").isNull() | (F.col("values") < F.col("n")), 1)).alias("nulls"), F.sum("bytes").alias("bytes")
-        ).head()
-        if found.nulls:
-            raise ValueError("null keys or values")
-        if (found.k or 0) >= KEY_LIMIT:
-            raise KeyTooLarge(f"{found.k} bytes")
-        if (found.v or 0) >= VALUE_LIMIT:
-            raise ValueTooLarge(f"{found.v} bytes")
-        if (found.n or 0) > 1:
-            raise ValueError("repeated keys have no order; fold them first")
-        if found.bytes is not None:
-            self._add(rows.select("key", "value", F.lit("put").alias("op")), found.bytes)
+        gone = F.col("op") == "del"
+        log = log.select(F.col("key").cast("binary").alias("key"), F.when(gone, F.lit(b"")).otherwise(F.col("value").cast("binary")).alias("value"), "op")
+        found = _sizes(log).head()
+        _check(found)
+        if found.rows:
+            self._add(log, found.bytes + found.rows * _ROW)
 
     def remove_df(self, keys: DataFrame) -> None:
         """Keys that are not there are passed over."""
         self.tx._writable()
         keys = keys.select(F.col("key").cast("binary").alias("key")).distinct()
-        size = keys.agg(F.sum(F.octet_length("key").cast("long"))).head()[0]
-        if size is None:
-            return
-        self._only_puts = False
-        self._add(keys.select("key", F.lit(b"").alias("value"), F.lit("del").alias("op")), size)
+        found = keys.agg(F.sum(F.octet_length("key").cast("long")).alias("bytes"), F.count("*").alias("rows")).head()
+        if found.bytes is not None:
+            self._add(keys.select("key", F.lit(b"").alias("value"), F.lit("del").alias("op")), found.bytes + found.rows * _ROW)
 
     def _add(self, log: DataFrame, size: int) -> None:
         if self._single:
             self._bulk.append(self._single_log())
-            self._bulk_bytes += sum(len(k) + len(v or b"") for k, v in self._single.items())
-            self._only_puts &= None not in self._single.values()
+            self._bulk_bytes += self._single_bytes()
             self._single = {}
         self._bulk.append(log)
         self._bulk_bytes += size
         self.tx._touch(self)
 
+    def _single_bytes(self) -> int:
+        return sum(len(k) + len(v or b"") + _ROW for k, v in self._single.items())
+
     def next_sequence(self, n: int = 1) -> int:
         """The next number, the first of n if more are taken at once."""
         self.tx._writable()
@@ -205,9 +204,9 @@ class Bucket:
         entry = BucketEntry(**{**self.entry.__dict__, "sequence": self.sequence_now})
         if not self._bulk and not self._single:
             return entry
-        size = self._bulk_bytes + sum(len(k) + len(v or b"") for k, v in self._single.items())
-        if not entry.folders() and len(self._bulk) == 1 and self._only_puts and not self._single:
-            base = self._store(self._bulk[0].select("key", "value"), size)
+        size = self._bulk_bytes + self._single_bytes()
+        if self._first():
+            base = self._store(fold.puts(self._bulk[0]), size)
             return replace(entry, base=base, **stats.bucket_stat(self._base(base)).head().asDict())
         logs = [*self._bulk, *([self._single_log()] if self._single else [])]
         folder = self._store(_merged(logs).select("key", "value", "op"), size)
@@ -232,18 +231,18 @@ class Bucket:
         base = size(entry.base) if entry.base else 0
         if not k and sum(sizes) >= options.rewrite_share * base:
             rows = Bucket(self.tx, self.name, entry).df
-            return replace(entry, base=self._store(rows, base + sum(sizes)), deltas=(), delta_rows=())
+            return replace(entry, base=self._store(rows, entry.bytes_in_use + entry.items_n * _ROW), deltas=(), delta_rows=())
         if k == len(sizes) - 1:
             return entry
-        folder = self._store(_merged([self._delta(d) for d in entry.deltas[k:]]).select("key", "value", "op"), sum(sizes[k:]))
+        newest = [self._delta(d) for d in entry.deltas[k:]]
+        most = sum(log.agg(stats.counters()[-1]).head()[0] for log in newest) + sum(entry.delta_rows[k:]) * _ROW
+        folder = self._store(_merged(newest).select("key", "value", "op"), most)
         return replace(entry, deltas=(*entry.deltas[:k], folder), delta_rows=(*entry.delta_rows[:k], self._delta(folder).count()))
 
     def _store(self, rows: DataFrame, size: int) -> str:
-        """Write rows of about so many bytes, sorted by key; the folder."""
-        folder, options = self.tx._folder(), self.tx.store.options
-        parts = max(1, math.ceil(size / options.file_bytes))
-        rows = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
-        rows.sortWithinPartitions("key").write.option("maxRecordsPerFile", options.file_rows).parquet(self.tx._at(folder))
+        """Write rows that take so many bytes in a sort, at most, sorted by key; the folder."""
+        folder = self.tx._folder()
+        self.tx._sorted(rows, size, "key").parquet(self.tx._at(folder))
         return folder
 
     def _base(self, folder: str) -> DataFrame:
@@ -260,6 +259,35 @@ def _merged(logs: list[DataFrame]) -> DataFrame:
     return fold.latest(log).drop("seq")
 
 
+def _keys(logs: list[DataFrame]) -> DataFrame:
+    """The keys that logs change, some repeated."""
+    keys = logs[0].select("key")
+    for more in logs[1:]:
+        keys = keys.unionByName(more.select("key"))
+    return keys
+
+
+def _sizes(log: DataFrame, *by: str) -> DataFrame:
+    """What _check looks at, of (key, value, op): a row, or one for each group."""
+    size = F.octet_length("key").cast("long") + F.octet_length("value")
+    wrong = F.col("value").isNull() | F.coalesce(~F.col("op").isin("put", "del"), F.lit(True))
+    each = log.groupBy(*by, "key").agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("v"), F.count(F.when(wrong, 1)).alias("wrong"), F.sum(size).alias("bytes"))
+    return each.groupBy(*by).agg(
+        F.max("n").alias("n"), F.max(F.octet_length("key")).alias("k"), F.max("v").alias("v"), F.sum(F.col("wrong") + F.col("key").isNull().cast("int")).alias("wrong"), F.sum("bytes").alias("bytes"), F.sum("n").alias("rows")
+    )
+
+
+def _check(found) -> None:
+    if found.wrong:
+        raise ValueError("null keys or values, or an op that is neither put nor del")
+    if (found.k or 0) >= KEY_LIMIT:
+        raise KeyTooLarge(f"{found.k} bytes")
+    if (found.v or 0) >= VALUE_LIMIT:
+        raise ValueTooLarge(f"{found.v} bytes")
+    if (found.n or 0) > 1:
+        raise ValueError("repeated keys have no order; fold them first")
+
+
 class Tx:
     def __init__(self, store, snapshot: Manifest, write: bool):
         self.store, self.snapshot, self.write = store, snapshot, write
@@ -286,6 +314,14 @@ class Tx:
         self._folders.append(f"data/{uuid.uuid4().hex}")
         return self._folders[-1]
 
+    def _sorted(self, rows: DataFrame, size: int, *by: str):
+        """A writer of rows in order, in files of bounded size. A single part is made behind an exchange: as a
+        narrow step it would run all that comes before in one task."""
+        options = self.store.options
+        parts = max(1, math.ceil(size / options.file_bytes))
+        rows = rows.repartitionByRange(parts, *by) if parts > 1 else rows.repartition(1)
+        return rows.sortWithinPartitions(*by).write.option("maxRecordsPerFile", options.file_rows)
+
     def _touch(self, bucket: Bucket) -> None:
         if self._handles.get(bucket.name) is not bucket:
             raise BucketNotFound(repr(bucket.name))  # deleted in this transaction
@@ -343,7 +379,8 @@ class Tx:
                     made[name] = self._handles[name]._write()
                 self._before_publish()
                 self.store._publish(Manifest(self.snapshot.version + 1, made))
-                self._folders = []
+                needed = {f for entry in made.values() for f in entry.folders()}
+                self._folders = [f for f in self._folders if f not in needed]
         finally:
             self._finish()
 

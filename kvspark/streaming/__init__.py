@@ -24,8 +24,7 @@ def apply_stream(log: DataFrame, store: Store, bucket: bytes, name: str, checkpo
             target = tx.create_bucket_if_missing(bucket)
             last = fold.latest(batch.select("key", "value", "op", "seq"))
             last = last.select("key", F.coalesce("value", F.lit(b"")).alias("value"), "op")
-            target.put_df(last.where("op = 'put'"))
-            target.remove_df(last.where("op = 'del'"))
+            target.apply_df(last.where("op in ('put', 'del')"))
             marks.put(b"batch", str(number).encode())
 
     return log.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(apply)

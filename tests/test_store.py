@@ -162,6 +162,66 @@ def test_many_removes_take_few_jobs(spark, store):
         assert tx.bucket(b"b").get(b"test_00001")[1]
 
 
+def test_a_folded_log_is_not_committed_in_one_task(spark, store):
+    """The parts of a fold are sorted in tasks of their own, not all in the one that writes."""
+    from pyspark.sql import functions as F
+
+    from kvspark.operators import fold
+
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    log = rows(spark, 20_000).select("key", "value", F.when(F.xxhash64("key") % 5 == 0, "del").otherwise("put").alias("op"), F.lit(1).cast("long").alias("seq"))
+    sinks = spark.sparkContext._jsc.sc().statusStore()
+    status, group = spark.sparkContext.statusTracker(), f"memory-{time.time()}"
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        for _ in range(2):
+            with store.update() as tx:
+                last = fold.latest(log)
+                b = tx.create_bucket_if_missing(b"b")
+                b.put_df(last.where("op = 'put'"))
+                b.remove_df(last.where("op = 'del'"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    peaks = []
+    for job in status.getJobIdsForGroup(group):
+        for stage in status.getJobInfo(job).stageIds:
+            tasks = sinks.taskList(stage, 0, 1000)
+            peaks += [tasks.apply(i).taskMetrics().get().peakExecutionMemory() for i in range(tasks.size()) if tasks.apply(i).taskMetrics().isDefined()]
+    assert len(peaks) > 48 and max(peaks) < 600 << 20  # MB: a few sorts of a page each
+    want = log.where("op = 'put'").count()
+    assert store.status()["Buckets"]["b"]["ItemsN"] == want
+    with store.view() as tx:
+        assert tx.bucket(b"b").df.count() == want
+
+
+def test_apply_df(spark, store):
+    """Puts and removes in one log; what is wrong with a log is said before anything is written."""
+    log = lambda *r: spark.createDataFrame([(k and bytearray(k), v and bytearray(v), op) for k, v, op in r], "key binary, value binary, op string")
+    with store.update() as tx:
+        b = tx.create_bucket(b"b")
+        b.apply_df(log((b"a", b"1", "put"), (b"b", None, "del"), (b"c", b"3", "put")))
+        assert dict(b.items()) == {b"a": b"1", b"c": b"3"}
+    with store.update() as tx:
+        b = tx.bucket(b"b")
+        b.apply_df(log((b"a", b"0", "del"), (b"none", None, "del"), (b"d", b"4", "put")))
+        b.put(b"e", b"5")
+    assert held(store) == {b"c": b"3", b"d": b"4", b"e": b"5"}
+    assert store.status()["Buckets"]["b"] == {"ItemsN": 3, "BlobsN": 0, "BytesInUse": 6}
+    bad = [(b"x", None, "put")], [(b"x", b"1", "move")], [(b"x", b"1", None)], [(None, b"1", "put")], [(b"x", b"1", "put"), (b"x", b"1", "del")]
+    with store.update() as tx:
+        for r in bad:
+            with pytest.raises(ValueError):
+                tx.bucket(b"b").apply_df(log(*r))
+        with pytest.raises(KeyTooLarge):
+            tx.bucket(b"b").apply_df(log((b"k" * 512, b"1", "put")))
+    assert held(store) == {b"c": b"3", b"d": b"4", b"e": b"5"}
+
+
 def test_options(spark, tmp_path):
     log = tmp_path / "log"
     with Store.open(spark, str(tmp_path / "s"), Options(mode=0o700, log_path=str(log))) as store:
