@@ -70,8 +70,7 @@ def filled(spark: SparkSession, d: str) -> Store:
         tx.create_bucket(b"orders").put_df(orders_bucket(spark, d))
         tx.create_bucket(b"customer").put_df(customer_bucket(spark, d))
         docs = document_buckets(spark, d).where("bucket is not null and key is not null and value is not null")
-        for name in sorted(r.bucket for r in docs.select("bucket").distinct().collect()):  # names of buckets
-            tx.create_bucket(f"doc-{name}".encode()).put_df(docs.where(F.col("bucket") == name).select("key", "value"))
+        tx.load_df(docs.withColumn("bucket", _binary(F.concat(F.lit("doc-"), "bucket"))))
     with store.update() as tx:  # overwrites, and removes one segment
         customers = tx.bucket(b"customer")
         rows = customer_bucket(spark, d)

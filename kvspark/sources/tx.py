@@ -349,6 +349,34 @@ class Tx:
         self._writable()
         return self.bucket(name) if name in self._entries else self.create_bucket(name)
 
+    def load_df(self, rows: DataFrame) -> None:
+        """New buckets with their rows: (bucket, key, value), keys unique in each. However many buckets there
+        are, one pass checks all of them as put_df does, and one writes them, at once. Files are cut by the
+        number of rows, so buckets with rows of very different sizes are better loaded apart."""
+        self._writable()
+        rows = rows.select(*[F.col(c).cast("binary").alias(c) for c in ("bucket", "key", "value")])
+        found = _sizes(rows.withColumn("op", F.lit("put")), "bucket").collect()  # a row a bucket
+        for r in found:
+            if r.bucket is None:
+                raise ValueError("null names of buckets")
+            _check(r)
+            check_key(bytes(r.bucket))
+            if bytes(r.bucket) in self._entries:
+                raise BucketExists(repr(bytes(r.bucket)))
+        if not found:
+            return
+        names = sorted(bytes(r.bucket) for r in found)
+        numbers = self.store.spark.createDataFrame([(bytearray(n), k) for k, n in enumerate(names)], "bucket binary, _n int")
+        placed = rows.join(F.broadcast(numbers), "bucket").select("_n", "key", "value")
+        folder = self._folder()
+        self._sorted(placed, sum(r.bytes + r.rows * _ROW for r in found), "_n", "key").partitionBy("_n").parquet(self._at(folder))
+        counts = stats.bucket_stat(self.store.spark.read.schema(f"{ROW}, _n int").parquet(self._at(folder)), "_n").collect()  # a row a bucket
+        for r in counts:
+            name, base = names[r["_n"]], self._folder()
+            os.rename(os.path.join(self._at(folder), f"_n={r['_n']}"), self._at(base))
+            self._entries[name] = BucketEntry(name.hex(), base=base, items_n=r.items_n, blobs_n=r.blobs_n, bytes_in_use=r.bytes_in_use)
+        self._catalog_changed = True
+
     def delete_bucket(self, name: bytes) -> None:
         """Wins over all that was done to the bucket before in this transaction."""
         self._writable()

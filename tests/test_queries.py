@@ -39,6 +39,27 @@ def test_stored_keys_reach_the_scan(spark):
         assert "GreaterThanOrEqual(key" in plan.split("PushedFilters")[1] and "LessThan(key" in plan and "Exchange" not in plan
 
 
+def test_documents_are_not_read_for_each_bucket(spark, tmp_path):
+    """Jobs that fill a store do not grow with the languages of the documents."""
+    def jobs(n):
+        d = tmp_path / str(n)
+        d.mkdir()
+        for t in ("orders", "customer"):
+            os.symlink(f"/root/testdata/sf0.001/{t}.parquet", d / f"{t}.parquet")
+        docs = spark.range(200).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"), F.format_string("l%02d", F.col("id") % n).alias("lang"))
+        docs.coalesce(1).write.parquet(str(d / "documents.parquet"))
+        group = f"fill-{n}-{tmp_path}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            store = stored.filled(spark, str(d))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sum(b["ItemsN"] for name, b in store.status()["Buckets"].items() if name.startswith("doc-l")) == 200
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(20) <= jobs(2) + 2
+
+
 def explain(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 

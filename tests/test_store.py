@@ -222,6 +222,39 @@ def test_apply_df(spark, store):
     assert held(store) == {b"c": b"3", b"d": b"4", b"e": b"5"}
 
 
+def test_load_df(spark, store):
+    """Buckets made and filled together are as if filled one by one."""
+    table = lambda *r: spark.createDataFrame([tuple(x if x is None else bytearray(x) for x in row) for row in r], "bucket binary, key binary, value binary")
+    many = [(b"n" * 511 if i % 7 else b"", b"%03d" % i, b"x" * i) for i in range(2000)]
+    with store.update() as tx:
+        tx.create_bucket(b"old").put(b"k", b"v")
+        tx.load_df(table(*many))
+        tx.load_df(table((b"gone", b"a", b"1"), (b"kept", b"a", b"2")))
+        tx.delete_bucket(b"gone")
+        tx.bucket(b"kept").put(b"b", b"3")
+        assert tx.buckets() == [b"", b"kept", b"n" * 511, b"old"]
+    store.vacuum()
+    for name in (b"", b"n" * 511):
+        want = {k: v for n, k, v in many if n == name}
+        assert held(store, name) == want
+        stat = store.status()["Buckets"][name.decode()]
+        assert stat == {"ItemsN": len(want), "BlobsN": sum(len(v) > 1024 for v in want.values()), "BytesInUse": sum(len(k) + len(v) for k, v in want.items())}
+    assert held(store, b"kept") == {b"a": b"2", b"b": b"3"}
+    before = files(store)
+    dropped = store.begin(write=True)
+    dropped.load_df(table((b"lost", b"a", b"1")))
+    dropped.rollback()
+    with store.update() as tx:
+        for row, error in (((b"old", b"a", b"1"), BucketExists), ((None, b"a", b"1"), ValueError), ((b"new", None, b"1"), ValueError), ((b"new", b"a", None), ValueError), ((b"n" * 512, b"a", b"1"), KeyTooLarge)):
+            with pytest.raises(error):
+                tx.load_df(table((b"fine", b"a", b"1"), row))
+        with pytest.raises(ValueError):
+            tx.load_df(table((b"fine", b"a", b"1"), (b"fine", b"a", b"2")))
+        tx.load_df(table())
+        assert tx.buckets() == [b"", b"kept", b"n" * 511, b"old"]
+    assert files(store) == before
+
+
 def test_options(spark, tmp_path):
     log = tmp_path / "log"
     with Store.open(spark, str(tmp_path / "s"), Options(mode=0o700, log_path=str(log))) as store:
